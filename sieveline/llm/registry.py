@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, held_out, table
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    out = toxicity.score(docs, machine)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +65,7 @@ from documents d left join rest r on r.doc_id = d.doc_id and r.tie = md5(d.text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op6_toxicity, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
