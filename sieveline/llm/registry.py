@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, held_out, table
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -65,7 +71,7 @@ from documents d left join rest r on r.doc_id = d.doc_id and r.tie = md5(d.text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_toxicity, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op6_toxicity, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
