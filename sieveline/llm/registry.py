@@ -10,12 +10,30 @@ from pyspark.sql import functions as F
 from .common import Scratch, held_out, table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import byte_bpe
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -71,7 +89,7 @@ from documents d left join rest r on r.doc_id = d.doc_id and r.tie = md5(d.text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op6_toxicity, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op5_byte_bpe, op6_toxicity, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
