@@ -43,6 +43,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_counts
+
+    return token_counts.counts(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -89,7 +97,7 @@ from documents d left join rest r on r.doc_id = d.doc_id and r.tie = md5(d.text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op5_byte_bpe, op6_toxicity, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op5_byte_bpe, op6_toxicity, op8_token_counts, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
