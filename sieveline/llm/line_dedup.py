@@ -32,6 +32,11 @@ def _full(x: Column) -> Column:
     return F.btrim(x, F.lit(SPACES)) != ""
 
 
+def has_word(text: Column) -> Column:
+    """Whether the text holds anything but white space; false for null."""
+    return F.coalesce(_full(text), F.lit(False))
+
+
 def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(hi, lo, doc_id, tie, at): hash of each window, its document and the number of its first full line."""
     lines = docs.filter(F.col(doc_id).isNotNull() & F.contains(F.col(text), F.lit("\n"))).select(

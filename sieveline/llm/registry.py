@@ -43,6 +43,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), order="page_id")
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +74,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP10_SQL = r"""
 with lines as (
   select doc_id, text, md5(text) tie, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i
@@ -97,7 +110,7 @@ from documents d left join rest r on r.doc_id = d.doc_id and r.tie = md5(d.text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op5_byte_bpe, op6_toxicity, op8_token_counts, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op5_byte_bpe, op6_toxicity, op7_html_text, op8_token_counts, op9_quality, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
