@@ -10,9 +10,9 @@ when 100 * |A & B| >= percent * |A | B|. The join is exact, up to 64-bit collisi
    n - ceil(p * n) + 1. The order puts shingles that the sketch calls frequent last, so what a third of the corpus
    shares is rarely in a prefix. The sketch steers only the order; any order is exact. Equal sets within one task
    send one prefix.
-3. Documents in a prefix shingle's group are banded by size; in each band the smallest is the pivot. Every
-   document is verified against the pivot it shares most with, and components are joined: a group of near copies
-   costs a comparison each, never all its pairs.
+3. Documents in a prefix shingle's group are banded by size; in each band the smallest is the pivot. A document
+   that shares a good part of its prefix with a pivot is verified against the pivot it shares most with, and
+   components are joined: a group of near copies costs a comparison each, never all its pairs.
 4. What still lies in different components and shares a prefix shingle goes to tiles: (shingle, size band, block,
    block), with rows of that band and the next. A band is a factor of 1 / p wide, so tiles hold all pairs
    that sizes allow. In a tile, |A & B| <= (|A| + |B| - popcount(bitmap A ^ bitmap B)) / 2; pairs that this bound
@@ -42,6 +42,8 @@ CHUNK = 1 << 16
 #: A tile holds about this many rows of each side.
 TILE = 512
 MIN_BITS, MAX_BITS = 256, 16384
+#: Step 3 takes pairs that share a STAR-th of a prefix or more.
+STAR = 5
 
 
 # ---------------------------------------------------------------- sets
@@ -50,14 +52,16 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.n
     """The sorted distinct shingle hashes of each text of a block."""
     h, n = word_hashes(data, off, lower=True)
     end = np.cumsum(n)
-    x = h[: max(0, len(h) - width + 1)].copy()
-    for k in range(1, width):
-        x = splitmix(x) + h[k : k + len(x)]
+    m = max(0, len(h) - width + 1)
+    x = np.zeros(m, np.uint64)
+    for c, k in zip(splitmix(np.arange(width, dtype=np.uint64)) | np.uint64(1), range(width), strict=True):
+        x += h[k : k + m] * c
     x = splitmix(x)
     out = []
     for i, e in zip(n.tolist(), end.tolist(), strict=True):
         if i >= width:
-            out.append(np.unique(x[e - i : e - width + 1]))
+            s = np.sort(x[e - i : e - width + 1])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
         elif i:
             s = np.uint64(i)
             for w in h[e - i : e]:
@@ -181,15 +185,6 @@ def _runs(percent: int):
 
 # ---------------------------------------------------------------- verification
 
-def _as_sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, off in blocks(batches, "text"):
-            sets = shingle_sets(data, off, width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
-
-    return run
-
-
 def _as_bitmaps(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, off in blocks(batches, "text"):
@@ -213,36 +208,45 @@ def _fold(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
-def _links(percent: int):
+def overlap(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays without repeats."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p):
+        return 0
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+
+
+def _links(width: int, percent: int):
+    """Rows (a, b, text_a, text_b), best sorted by a -> the pairs that link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        last, last_set = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
             keep = []
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                if not len(p):
-                    continue
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
+            at = 0
+            for b, data, off in blocks(iter([batch]), "text_b"):
+                for i, q in enumerate(shingle_sets(data, off, width), at):
+                    text = batch.column(2)[i].as_py() or ""
+                    if last != (ids[i], text):
+                        raw = np.frombuffer(text.encode(), np.uint8)
+                        last, last_set = (ids[i], text), shingle_sets(raw, np.array([0, len(raw)]), width)[0]
+                    both = overlap(last_set, q)
+                    if both and 100 * both >= percent * (len(last_set) + len(q) - both):
+                        keep.append(i)
+                at += b.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Of the pairs (a, b), those that link. Only the texts of ids in pairs become sets and move."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    touched, _ = split_by_ids(docs, "doc_id", ids)
-    sets = scratch.save(touched.select("doc_id", "text").mapInArrow(_as_sets(width), "id long, set binary"), f"{name}-sets")
-    sb = sets.select(F.col("id").alias("ib"), F.col("set").alias("set_b"))
-    sa = sets.select(F.col("id").alias("ia"), F.col("set").alias("set_a"))
-    both = pairs.join(sb, F.col("b") == F.col("ib")).select("a", "b", "set_b").join(sa, F.col("a") == F.col("ia")).select("a", "b", "set_a", "set_b")
-    out = scratch.save(both.mapInArrow(_links(percent), "a long, b long").distinct(), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return out
+    """Of the pairs (a, b), those that link. Only the texts of ids in pairs move; b's side twice, a's once."""
+    tb = split_by_ids(docs, "doc_id", pairs.select("b").distinct())[0].select(F.col("doc_id").alias("ib"), F.col("text").alias("text_b"))
+    ta = split_by_ids(docs, "doc_id", pairs.select("a").distinct())[0].select(F.col("doc_id").alias("ia"), F.col("text").alias("text_a"))
+    both = pairs.join(tb, F.col("b") == F.col("ib")).select("a", "b", "text_b").join(ta, F.col("a") == F.col("ia")).select("a", "b", "text_a", "text_b")
+    return scratch.save(both.mapInArrow(_links(width, percent), "a long, b long").distinct(), f"{name}-links")
 
 
 # ---------------------------------------------------------------- tiles
@@ -337,7 +341,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     keys = docs.mapInArrow(_prefixes(_levels(scan), width, percent), "key long, doc long, n int")
     runs = scratch.save(keys.repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(_runs(percent), "key long, doc long, n int, pivot long"), "runs")
 
-    most = runs.filter("doc <> pivot").groupBy("doc", "pivot").count().groupBy("doc").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot"))
+    # pairs that share a good part of their prefixes; the tiles, with their bitmaps, look at all others
+    shared = runs.filter("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") * 100 * STAR >= F.col("n") * (100 - percent))
+    most = shared.groupBy("doc").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
     near = _verified(docs, scratch.save(most.select(F.col("pivot").alias("a"), F.col("doc").alias("b")), "star"), width, percent, scratch, "star")
     first = components(near.unionByName(copies), scratch, "near")
 

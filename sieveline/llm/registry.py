@@ -24,6 +24,29 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The rules of the url query.
+RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -109,9 +132,21 @@ from documents d left join rest r on r.doc_id = d.doc_id and r.tie = md5(d.text)
 """
 
 
+OP4_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op5_byte_bpe, op6_toxicity, op7_html_text, op8_token_counts, op9_quality, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op3_url_filter, op4_topk, op5_byte_bpe, op6_toxicity, op7_html_text, op8_token_counts, op9_quality, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op4_topk": OP4_SQL, "op10_line_dedup": OP10_SQL}
