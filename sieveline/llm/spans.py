@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks that a worker remembers before it starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
