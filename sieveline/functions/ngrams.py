@@ -27,29 +27,23 @@ def runes(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """array<struct<tri, idx, byte_offset>>: the windows of three code points, in order; empty below three."""
-    # both offsets run along one array of code points; no substring() per place
-    c = runes(text)
-    return F.when(F.length(text) >= SIZE, _windows(c)).otherwise(F.array().cast("array<struct<tri:string,idx:bigint,byte_offset:bigint>>"))
-
-
-def _windows(c: Column) -> Column:
-    from .text import running_starts
+    from .text import bound, running_starts
 
-    bound = F.struct(c.alias("c"), running_starts(F.transform(c, lambda x: F.octet_length(x).cast("long"))).alias("o"))
-    # bound once, as a lambda's variable, so that the arrays aren't built again for each element
-    made = F.transform(F.array(bound), lambda v: F.transform(
+    # both offsets run along one array of code points; no substring() per place
+    arrays = bound(runes(text), lambda c: F.struct(c.alias("c"), running_starts(F.transform(c, lambda x: F.octet_length(x).cast("long"))).alias("o")))
+    made = bound(arrays, lambda v: F.transform(
         F.slice(v["c"], F.lit(1), F.size(v["c"]) - (SIZE - 1)),
         lambda a, i: F.struct(F.concat(a, F.get(v["c"], i + 1), F.get(v["c"], i + 2)).alias("tri"), i.cast("long").alias("idx"), F.get(v["o"], i).alias("byte_offset")),
     ))
-    return F.get(made, F.lit(0))
+    return F.when(F.length(text) >= SIZE, made).otherwise(F.array().cast("array<struct<tri:string,idx:bigint,byte_offset:bigint>>"))
 
 
 def trigram_texts(text: Column) -> Column:
     """The windows alone, array<string>."""
-    made = F.transform(F.array(F.struct(runes(text).alias("c"))), lambda v: F.transform(
-        F.slice(v["c"], F.lit(1), F.greatest(F.size(v["c"]) - (SIZE - 1), F.lit(0))), lambda a, i: F.concat(a, F.get(v["c"], i + 1), F.get(v["c"], i + 2))
-    ))
-    return F.when(F.length(text) >= SIZE, F.get(made, F.lit(0))).otherwise(F.array().cast("array<string>"))
+    from .text import bound
+
+    made = bound(runes(text), lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - (SIZE - 1), F.lit(0))), lambda a, i: F.concat(a, F.get(c, i + 1), F.get(c, i + 2))))
+    return F.when(F.length(text) >= SIZE, made).otherwise(F.array().cast("array<string>"))
 
 
 def encoded(tri: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,17 +11,30 @@ from pyspark.sql import functions as F
 CHUNK = 512
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once: x becomes a lambda's variable, where plain nesting would repeat it at each use."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def fence(x: Column) -> Column:
+    """x, in a projection that filters are not pushed through; they would compute x a second time."""
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
 def running_starts(sizes: Column) -> Column:
     """array<bigint>: for each element the sum of those before it.
 
-    Sums run inside chunks of CHUNK elements on top of the chunks' own sums, so a text with h hits costs h * CHUNK
-    copies at most, not h * h.
+    Beyond CHUNK elements, sums run inside chunks on top of the chunks' own sums, so a text with h hits costs
+    h * CHUNK copies at most, not h * h.
     """
-    n = F.size(sizes)
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / CHUNK).cast("int") - 1, F.lit(0))), lambda k: F.slice(sizes, k * CHUNK + 1, F.lit(CHUNK)))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    bases = _starts(F.transform(chunks, total), F.lit(0).cast("long"))
-    return F.flatten(F.zip_with(chunks, bases, _starts))
+    zero = F.lit(0).cast("long")
+    total = lambda c: F.aggregate(c, zero, lambda a, x: a + x)
+
+    def chunked(s: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / CHUNK).cast("int") - 1), lambda k: F.slice(s, k * CHUNK + 1, F.lit(CHUNK)))
+        return bound(parts, lambda c: F.flatten(F.zip_with(c, _starts(F.transform(c, total), zero), _starts)))
+
+    return bound(sizes, lambda s: F.when(F.size(s) <= CHUNK, _starts(s, zero)).otherwise(chunked(s)))
 
 
 def _starts(sizes: Column, base: Column) -> Column:
@@ -35,8 +50,7 @@ def newlines(text: Column) -> Column:
 def newline_offsets(text: Column) -> Column:
     """Byte offsets of every \\n, array<bigint>."""
     sizes = F.transform(F.split(text, "\n", -1), lambda p: F.octet_length(p).cast("long") + 1)
-    starts = running_starts(sizes)
-    return F.transform(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), lambda x: x - 1)
+    return bound(running_starts(sizes), lambda o: F.transform(F.slice(o, F.lit(2), F.greatest(F.size(o) - 1, F.lit(0))), lambda x: x - 1))
 
 
 def line_number(text: Column, prefix: Column) -> Column:
@@ -46,8 +60,7 @@ def line_number(text: Column, prefix: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The text's lines: cut at \\n, one \\r before it goes, no empty last line."""
-    parts = F.split(text, r"\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(text, r"\r?\n", -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def rune_to_byte(text: Column, rune: Column) -> Column:

@@ -29,12 +29,12 @@ class InvalidIndex(ValueError):
 
 def postings(corpus: DataFrame) -> DataFrame:
     """(file_idx, tri, pos, byte_offset): every window of three code points; pos counts code points from 0."""
-    return corpus.filter(F.length("text") >= ngrams.SIZE).select("file_idx", F.inline(ngrams.trigrams(F.col("text")))).select("file_idx", "tri", F.col("idx").alias("pos"), "byte_offset")
+    return corpus.filter(F.length("text") >= ngrams.SIZE).select("file_idx", tx.fence(ngrams.trigrams(F.col("text"))).alias("_t")).select("file_idx", F.inline("_t")).select("file_idx", "tri", F.col("idx").alias("pos"), "byte_offset")
 
 
 def positions(corpus: DataFrame) -> DataFrame:
     """(file_idx, tri, pos): postings without byte offsets, which cost a second running sum."""
-    return corpus.filter(F.length("text") >= ngrams.SIZE).select("file_idx", F.posexplode(ngrams.trigram_texts(F.col("text"))).alias("p", "tri")).select("file_idx", "tri", F.col("p").cast("bigint").alias("pos"))
+    return corpus.filter(F.length("text") >= ngrams.SIZE).select("file_idx", tx.fence(ngrams.trigram_texts(F.col("text"))).alias("_t")).select("file_idx", F.posexplode("_t").alias("p", "tri")).select("file_idx", "tri", F.col("p").cast("bigint").alias("pos"))
 
 
 def tri_stats(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from .search import MATCH, _limited, with_hits
 
 def match_lines(corpus: DataFrame, query: Query) -> DataFrame:
     """(file_idx, byte_offset, rendered): path:line:text of every match; a file without \\n shows line 0 and its only line."""
-    docs = with_hits(corpus, query).withColumn("_l", tx.lines(F.col("text")))
+    docs = with_hits(corpus, query).withColumn("_l", tx.fence(tx.lines(F.col("text"))))
     rows = docs.select("file_idx", "path", F.inline(F.transform("hits", lambda h: F.struct(h["byte_offset"].alias("byte_offset"), h["line_number"].alias("n"), F.get("_l", (F.coalesce(h["line_number"], F.lit(1)) - 1).cast("int")).alias("t")))))
     rows = _limited(rows, query.options.max_matches)
     return rows.select("file_idx", "byte_offset", F.concat_ws(":", "path", F.coalesce("n", F.lit(0)).cast("string"), F.coalesce("t", F.lit(""))).alias("rendered"))
@@ -31,7 +31,7 @@ def context_lines(corpus: DataFrame, query: Query) -> DataFrame:
     follow the one before it in the same file. A hit on a line that earlier context has printed stays context.
     """
     n = query.options.context_lines
-    docs = with_hits(corpus, query).withColumn("_l", tx.lines(F.col("text")))
+    docs = with_hits(corpus, query).withColumn("_l", tx.fence(tx.lines(F.col("text"))))
     hits = F.array_distinct(F.transform("hits", lambda h: F.coalesce(h["line_number"], F.lit(1)).cast("int")))
     docs = docs.select("file_idx", "path", "_l", F.filter(hits, lambda x: x <= F.size("_l")).alias("_h")).filter(F.size("_h") > 0)
     # in order of lines: a hit prints unless an earlier printed hit's trailing context holds its line

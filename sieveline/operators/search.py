@@ -67,46 +67,43 @@ def filter_column(text: Column, need, ignore_case: bool = False) -> Column | Non
     return None
 
 
-def _at_hits(text: Column, pieces: Column, skip_first: Column, lengths) -> Column:
-    """array<HIT> for the starts of pieces; the first piece's start is left out where skip_first."""
-    sizes = F.transform(pieces, lambda p: F.octet_length(p).cast("bigint"))
-    breaks = F.transform(pieces, tx.newlines)
-    starts, above = tx.running_starts(sizes), tx.running_starts(breaks)
-    drop = F.when(skip_first, 1).otherwise(0)
-    cut = lambda a: F.slice(a, drop + 1, F.size(a) - drop)
-    many = F.contains(text, F.lit("\n"))
-    return F.transform(
-        F.arrays_zip(cut(starts).alias("o"), cut(above).alias("l"), lengths.alias("n")),
-        lambda x: F.struct(x["o"].alias("byte_offset"), x["n"].alias("byte_length"), F.when(many, x["l"] + 1).alias("line_number")),
-    )
+def _hit_rows(starts: Column, lengths: Column, above: Column, many: Column) -> Column:
+    rows = F.arrays_zip(starts.alias("o"), lengths.alias("n"), above.alias("l"))
+    return F.transform(rows, lambda x: F.struct(x["o"].alias("byte_offset"), x["n"].alias("byte_length"), F.when(many, x["l"] + 1).alias("line_number")))
+
+
+def _at_hits(text: Column, pieces: Column, drop: Column, lengths: Column) -> Column:
+    """array<HIT> for the starts of pieces, without the first `drop` of them (0 or 1)."""
+    starts = tx.running_starts(F.transform(pieces, lambda p: F.octet_length(p).cast("bigint")))
+    above = tx.running_starts(F.transform(pieces, tx.newlines))
+    cut = lambda a: F.slice(a, drop + 1, F.size(pieces) - drop)
+    return _hit_rows(cut(starts), lengths, cut(above), F.contains(text, F.lit("\n")))
 
 
 def literal_hits(text: Column, literal: str, case_sensitive: bool) -> Column:
     """array<HIT> of all places, overlapping ones too."""
     if case_sensitive:
-        pieces = F.split(text, f"(?={quoted(literal)})", -1)
-        skip = ~F.startswith(text, F.lit(literal))
-        lengths = F.array_repeat(F.lit(len(literal.encode())).cast("bigint"), F.size(pieces) - F.when(skip, 1).otherwise(0))
-        return _at_hits(text, pieces, skip, lengths)
+        drop = F.when(F.startswith(text, F.lit(literal)), 0).otherwise(1)
+        size = F.lit(len(literal.encode())).cast("bigint")
+        return tx.bound(F.split(text, f"(?={quoted(literal)})", -1), lambda p: _at_hits(text, p, drop, F.array_repeat(size, F.size(p) - drop)))
     pattern = either_case(literal)
-    pieces = F.split(text, f"(?={pattern})", -1)
-    spans = F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1))
-    lengths = F.transform(spans, lambda s: F.octet_length(s).cast("bigint"))
-    return _at_hits(text, pieces, F.size(pieces) > F.size(spans), lengths)
+    both = F.struct(F.split(text, f"(?={pattern})", -1).alias("p"), F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)).alias("s"))
+    return tx.bound(both, lambda v: _at_hits(text, v["p"], F.size(v["p"]) - F.size(v["s"]), F.transform(v["s"], lambda s: F.octet_length(s).cast("bigint"))))
 
 
 def regex_hits(text: Column, java: str) -> Column:
     """array<HIT> of the leftmost matches that don't overlap; the pattern never matches nothing."""
-    found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    gaps = F.split(text, java, -1)
-    # gap, match, gap, match ...: starts of matches are starts of every second part
-    parts = F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.array(g, m)))
-    sizes = F.transform(parts, lambda p: F.octet_length(p).cast("bigint"))
-    starts, above = tx.running_starts(sizes), tx.running_starts(F.transform(parts, tx.newlines))
-    many = F.contains(text, F.lit("\n"))
-    rows = F.arrays_zip(starts.alias("o"), sizes.alias("n"), above.alias("l"))
-    odd = F.filter(rows, lambda x, i: i % 2 == 1)
-    return F.transform(odd, lambda x: F.struct(x["o"].alias("byte_offset"), x["n"].alias("byte_length"), F.when(many, x["l"] + 1).alias("line_number")))
+    both = F.struct(F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("m"), F.split(text, java, -1).alias("g"))
+    # a gap before each match: a match starts where its gap and all pairs before it end
+    bytes_ = lambda x: F.octet_length(x).cast("bigint")
+
+    def rows(v: Column) -> Column:
+        gaps = F.slice(v["g"], F.lit(1), F.size(v["m"]))
+        starts = F.zip_with(tx.running_starts(F.zip_with(gaps, v["m"], lambda g, m: bytes_(g) + bytes_(m))), gaps, lambda s, g: s + bytes_(g))
+        above = F.zip_with(tx.running_starts(F.zip_with(gaps, v["m"], lambda g, m: tx.newlines(g) + tx.newlines(m))), gaps, lambda s, g: s + tx.newlines(g))
+        return _hit_rows(starts, F.transform(v["m"], bytes_), above, F.contains(text, F.lit("\n")))
+
+    return tx.bound(both, rows)
 
 
 def _arrow_hits(pattern: str):
@@ -152,13 +149,13 @@ def with_hits(corpus: DataFrame, query: Query, prefilter: bool = True) -> DataFr
             quick = filter_column(text, rx.Contains(literal), True) if prefilter else None
             docs = docs.filter(quick) if quick is not None else docs
             docs = docs.filter(text.rlike(either_case(literal)))
-        return docs.withColumn("hits", literal_hits(text, literal, o.case_sensitive))
+        return docs.withColumn("hits", tx.fence(literal_hits(text, literal, o.case_sensitive)))
     quick = filter_column(text, rx.required(tree), not o.case_sensitive) if prefilter else None
     docs = docs.filter(quick) if quick is not None else docs
     if rx.may_be_empty(tree):
         return docs.mapInArrow(_arrow_hits(rx.python(tree)), f"{docs.schema.simpleString()[7:-1]}, hits array<{HIT}>").filter(F.size("hits") > 0)
     java = rx.java(tree)
-    return docs.filter(text.rlike(java)).withColumn("hits", regex_hits(text, java))
+    return docs.filter(text.rlike(java)).withColumn("hits", tx.fence(regex_hits(text, java)))
 
 
 def _limited(rows: DataFrame, n: int) -> DataFrame:
@@ -174,7 +171,7 @@ def matches(corpus: DataFrame, query: Query, prefilter: bool = True) -> DataFram
 def contexts(corpus: DataFrame, query: Query) -> DataFrame:
     """MATCH rows with path, line_text, before and after. Lines are cut once a document, not once a hit."""
     n = query.options.context_lines
-    docs = with_hits(corpus, query).withColumn("_l", tx.lines(F.col("text")))
+    docs = with_hits(corpus, query).withColumn("_l", tx.fence(tx.lines(F.col("text"))))
     lines = F.col("_l")
 
     def around(h: Column) -> Column:
