@@ -183,7 +183,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 5.0, rounds: int = 25) -> n
 def train(pages: DataFrame, html: str = "html", sample_pages: int = 300, order: str | None = None) -> np.ndarray:
     """Weights from the blocks that ancestors decide, on sample_pages pages with the smallest hash."""
     key = F.xxhash64(F.col(order) if order else F.col(html))
-    rows = pages.filter(F.col(html).isNotNull()).select(key.alias("k"), F.col(html).alias("h")).orderBy("k").limit(sample_pages).collect()
+    keyed = pages.filter(F.col(html).isNotNull()).select(key.alias("k"), F.col(html).alias("h"))
+    low = [r[0] for r in keyed.select("k").orderBy("k").limit(sample_pages).collect()]  # keys alone; then those pages
+    rows = keyed.filter(F.col("k") <= (low[-1] if low else 0)).orderBy("k", "h").limit(sample_pages).collect()
     found = [(features(b), b.hint > 0) for r in rows for b in parse(r["h"]) if abs(b.hint) >= 3]
     return fit(np.array([f for f, _ in found]), np.array([float(y) for _, y in found])) if found else PLAIN
 

@@ -28,12 +28,12 @@ SYMBOLS = "#*$%&|<>"
 #: Bits of a packed window that hold its position; a Spark string has fewer words than 2 ** 31.
 POSITION_BITS = 31
 
-#: Rule -> the ratio that it bounds from above.
-RULES: dict[str, Column] = {
-    "symbols": F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)),
-    "shouts": F.col("n_exclaims") / F.greatest(F.col("n_words"), F.lit(1)),
-    "repeats": F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "long_words": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)) / 40,
+#: Rule -> the ratio that it bounds from above, in SQL.
+RULES = {
+    "symbols": "n_symbols / greatest(n_words, 1)",
+    "shouts": "n_exclaims / greatest(n_words, 1)",
+    "repeats": "n_repeat_words / greatest(n_words, 1)",
+    "long_words": "word_chars / greatest(n_words, 1) / 40",
 }
 #: Cutoffs are 1 / CELLS, 2 / CELLS ... 1; a ratio over 1 falls in the last cell.
 CELLS = 64
@@ -103,7 +103,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 def cutoffs(counted: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", good: str = "quality", alpha: float = 0.04, delta: float = 0.05, price: float = 20.0) -> dict[str, dict[str, float]]:
     """stratum -> rule -> certified cutoff. labels: (doc_id, quality). counted: from counts()."""
-    cell = [F.least(F.greatest(F.ceil(r * CELLS), F.lit(0)), F.lit(CELLS + 1)).cast("int").alias(k) for k, r in RULES.items()]
+    cell = [F.least(F.greatest(F.ceil(F.expr(r) * CELLS), F.lit(0)), F.lit(CELLS + 1)).cast("int").alias(k) for k, r in RULES.items()]
     rows = (
         counted.filter(~base_failed())
         .select(F.col(doc_id).alias("_id"), F.col(stratum).cast("string").alias("s"), *cell)
@@ -135,7 +135,7 @@ def verdict(cuts: dict, stratum: str = "lang") -> Column:
     reject = F.lit(False)
     for s, rules in sorted(cuts.items(), key=lambda x: (x[0] is not None, x[0] or "")):
         for rule, cut in sorted(rules.items()):
-            reject = reject | (F.col(stratum).cast("string").eqNullSafe(F.lit(s)) & (F.ceil(RULES[rule] * CELLS) > int(cut * CELLS)))
+            reject = reject | (F.col(stratum).cast("string").eqNullSafe(F.lit(s)) & (F.ceil(F.expr(RULES[rule]) * CELLS) > int(cut * CELLS)))
     return ~reject
 
 

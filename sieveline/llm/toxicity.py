@@ -4,7 +4,7 @@ A text's terms are its lower-cased runs of ASCII letters and non-ASCII bytes, ha
 counts once. The logit is w0 + sum w_i + sum over pairs <v_i, v_j>, so an insult next to a mention of a group can
 weigh more than both weights added. The machine is fitted by Adagrad on a bounded sample of labelled rows:
 `per_class` rows of each label at most, those with the smallest hash of doc_id; `max_terms` of their cells, those
-with the largest chi-square that at least `min_docs` of the texts hold. Everything else reads every whole text.
+with the largest chi-square, `min_chi` at least, that `min_docs` of the texts hold. Everything else reads every whole text.
 
 Nulls and edges: a null or empty text has no terms and scores sigmoid(w0). Labels that are null, or whose document
 is missing, take no part. Repeated rows score alike. Without labels of both kinds every score is 0. The input's
@@ -70,7 +70,7 @@ def _logits(m: Machine, doc: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndar
     return m.w0 + np.bincount(doc, m.w[s], n) + pairs, total
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 40, batch: int = 256, rate: float = 0.4, decay: float = 2e-4, min_docs: int = 5, max_terms: int = 256, seed: int = 7) -> Machine:
+def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 40, batch: int = 256, rate: float = 0.4, decay: float = 2e-4, min_docs: int = 5, max_terms: int = 256, min_chi: float = 10.8, seed: int = 7) -> Machine:
     """texts: the distinct cells of each text. y: 0 or 1."""
     n = len(texts)
     flat = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64)
@@ -80,12 +80,13 @@ def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int =
     t = np.bincount(flat, minlength=CELLS).astype(float)
     p = y.mean()
     chi = (a - t * p) ** 2 / np.maximum(t * p * (1 - p), 1e-9)
-    chi[t < min_docs] = -1
+    chi[(t < min_docs) | (chi < min_chi)] = -1  # one in a thousand, if the label had no part in it
     best = np.argsort(-chi, kind="stable")[:max_terms]
     best = np.sort(best[chi[best] >= 0])
     slot = np.full(CELLS, -1, np.int32)
     slot[best] = np.arange(len(best))
     rng = np.random.default_rng(seed)
+    batch = max(16, min(batch, n // 16))  # small samples get as many steps
     d = max(1, len(best))
     m = Machine(slot, float(np.log(p / (1 - p))), np.zeros(d), rng.normal(0, 0.02, (d, factors)))
     gw, gv, g0 = np.full(d, 1e-6), np.full((d, factors), 1e-6), 1e-6
