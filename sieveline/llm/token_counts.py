@@ -122,4 +122,4 @@ def counts(spark: SparkSession, docs: DataFrame, tokenizer: str, doc_id: str = "
     scratch = Scratch(spark, "token-files")
     manifest = scratch.save(write(docs, tokenizer, f"{scratch.dir}/ids", doc_id, text), "manifest")
     found = scan(manifest.select("file", "bytes").distinct(), **kw)
-    return manifest.join(found, ["file", "document"]).select("doc_id", "n_tokens")
+    return manifest.hint("merge").join(found, ["file", "document"]).select("doc_id", "n_tokens")  # files look small: never broadcast
