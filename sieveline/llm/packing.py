@@ -75,7 +75,7 @@ def solve(demand: np.ndarray, rounds: int = 4000, gap: float = 3e-4) -> list[tup
         if value <= 1 + gap:  # the bound of Farley: at most a share gap above the optimum
             break
         col = pattern[active].astype(float)
-        step = inverse @ col
+        step = np.einsum("ij,j->i", inverse, col)  # small, and free of threads that wait for each other
         ok = step > 1e-10
         ratio = np.where(ok, x / np.where(ok, step, 1), np.inf)
         out = int(np.argmin(ratio))

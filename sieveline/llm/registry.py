@@ -132,6 +132,22 @@ from documents d left join rest r on r.doc_id = d.doc_id and r.tie = md5(d.text)
 """
 
 
+OP2_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * k >= 75 * (nx.n + ny.n - k)),
+e as (select x, y from l union select y, x from l),
+r(doc_id, c) as (select x, x from e union select e.y, r.c from r join e on e.x = r.doc_id),
+m as (select doc_id, min(c) as c from r group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(m.c, d.doc_id) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
+"""
+
 OP4_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
@@ -149,4 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op4_topk": OP4_SQL, "op10_line_dedup": OP10_SQL}
