@@ -10,13 +10,15 @@ when 100 * |A & B| >= percent * |A | B|. The join is exact, up to 64-bit collisi
    n - ceil(p * n) + 1. The order puts shingles that the sketch calls frequent last, so what a third of the corpus
    shares is rarely in a prefix. The sketch steers only the order; any order is exact. Equal sets within one task
    send one prefix.
-3. Documents in a prefix shingle's group are banded by size; in each band the smallest is the pivot. A document
-   that shares a good part of its prefix with a pivot is verified against the pivot it shares most with, and
-   components are joined: a group of near copies costs a comparison each, never all its pairs.
-4. What still lies in different components and shares a prefix shingle goes to tiles: (shingle, size band, block,
-   block), with rows of that band and the next. A band is a factor of 1 / p wide, so tiles hold all pairs
-   that sizes allow. In a tile, |A & B| <= (|A| + |B| - popcount(bitmap A ^ bitmap B)) / 2; pairs that this bound
-   leaves are verified by intersecting the sorted arrays.
+3. In a prefix shingle's group the document with the smallest hash is the pivot. A document that shares a good part
+   of its prefix with a pivot is verified against the pivot it shares most with, and components are joined: a group
+   of near copies costs a comparison each, never all its pairs.
+4. What still lies in different components and shares a prefix shingle goes to tiles; of shingles with the same
+   documents one stays. A few rows are one tile; more are dealt to (shingle, size band, block, block), with rows of
+   that band and the next. A band is a factor of 1 / p wide, so tiles hold all pairs that sizes allow. In a tile,
+   |A & B| <= (|A| + |B| - popcount(bitmap A ^ bitmap B)) / 2; pairs that this bound leaves are verified by
+   intersecting the sorted arrays. A first pass takes each row's best partner only, whose links join most of what
+   is linked; the second takes every pair that is still apart.
 
 Each link that is not inside a component after step 3 is found in step 4, so the components are those of all links.
 
@@ -41,7 +43,9 @@ SKETCH = 1 << 20
 CHUNK = 1 << 16
 #: A tile holds about this many rows of each side.
 TILE = 512
-MIN_BITS, MAX_BITS = 256, 16384
+MIN_BITS, MAX_BITS = 256, 1 << 17
+#: A unit of verification holds about twice as many texts.
+UNIT = 256
 #: Step 3 takes pairs that share a STAR-th of a prefix or more.
 STAR = 5
 
@@ -114,12 +118,12 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _levels(scan: DataFrame) -> np.ndarray:
-    """0 for shingles as rare as most, more by 1 for each doubling beyond four times the mean; 1 MB."""
+    """0 for shingles as rare as most, more by 1 for each doubling beyond them; 1 MB."""
     rows = scan.filter("kind >= 0").select("kind", "blob").repartition(F.col("kind")).mapInArrow(_sum_chunks, "kind int, blob binary").collect()  # 8 MB at most
     count = np.zeros(SKETCH, np.float64)
     for r in rows:
         count[r["kind"] * CHUNK : (r["kind"] + 1) * CHUNK] = np.frombuffer(r["blob"], np.uint64)
-    base = max(8.0, 4 * count.mean())
+    base = max(8.0, count.mean() + 6 * count.mean() ** 0.5)  # beyond what chance puts in a counter
     return np.where(count > base, 1 + np.log2(np.maximum(count / base, 1)), 0).astype(np.uint8)
 
 
@@ -144,43 +148,33 @@ def _prefixes(levels: np.ndarray, width: int, percent: int):
     return run
 
 
-def _runs(percent: int):
-    """Rows sorted by (key, n, doc) -> rows of keys with two documents or more, each with its band's pivot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row, whose key may go on
-        key0, pivot, pivot_n = None, None, None
-        for b in batches:
-            k, d, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if held is not None:
-                k, d, n = np.append(held[0], k), np.append(held[1], d), np.append(held[2], n)
-            if len(k) < 2:
-                held = (k[-1:], d[-1:], n[-1:]) if len(k) else held
-                continue
-            # the last row waits for the next batch, so "same as next" is known for all others
-            same_prev = np.empty(len(k), bool)
-            same_prev[0] = key0 is not None and k[0] == key0
-            same_prev[1:] = k[1:] == k[:-1]
-            multi = same_prev[:-1] | np.append(same_prev[1:-1], k[-1] == k[-2])
-            at = np.flatnonzero(multi)
-            if len(at):
-                out_p = np.empty(len(at), np.int64)
-                last_k = key0
-                for j, i in enumerate(at.tolist()):
-                    if last_k is None or k[i] != last_k or pivot is None or percent * n[i] > 100 * pivot_n:
-                        pivot, pivot_n = int(d[i]), int(n[i])
-                    last_k = k[i]
-                    out_p[j] = pivot
-                yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(d[at]), pa.array(n[at]), pa.array(out_p)], ["key", "doc", "n", "pivot"])
-            key0 = k[-2]
-            held = (k[-1:], d[-1:], n[-1:])
-        if held is not None and key0 is not None and held[0][0] == key0:
-            n = int(held[2][0])
-            if pivot is None or percent * n > 100 * pivot_n:
-                pivot = int(held[1][0])
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2]), pa.array([pivot], pa.int64())], ["key", "doc", "n", "pivot"])
-
-    return run
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, hash of doc) -> rows of keys with two rows or more, each with the key's first as pivot."""
+    held: list[np.ndarray] | None = None  # the last row, whose key may go on
+    key0, pivot = None, (0, 0)
+    for b in batches:
+        k, d, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if held is not None:
+            k, d, n = (np.append(h, x) for h, x in zip(held, (k, d, n), strict=True))
+        if not len(k):
+            continue
+        held = [k[-1:], d[-1:], n[-1:]]
+        if len(k) == 1:
+            continue
+        first = np.append(key0 is None or k[0] != key0, k[1:] != k[:-1])
+        start = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))  # -1: the key began in an earlier batch
+        pd, pn = np.where(start < 0, pivot[0], d[start]), np.where(start < 0, pivot[1], n[start])
+        multi = ~first[:-1] | ~first[1:]  # all but the last row, which waits
+        at = np.flatnonzero(multi)
+        yield _run_rows(k[at], d[at], n[at], pd[at], pn[at])
+        key0, pivot = (None if first[-1] else k[-1]), (int(pd[-1]), int(pn[-1]))
+    if held is not None and key0 is not None and held[0][0] == key0:
+        yield _run_rows(*held, np.array([pivot[0]]), np.array([pivot[1]]))
+
+
+def _run_rows(k, d, n, pd, pn) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((k, d, n, pd, pn), kinds, strict=True)], ["key", "doc", "n", "pivot", "pivot_n"])
 
 
 # ---------------------------------------------------------------- verification
@@ -195,16 +189,17 @@ def _as_bitmaps(width: int):
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """uint64 words: bit (hash mod width) of each shingle; the width, a power of two, is twice the set's size or more."""
+    """uint64 words: bit i is the parity of the shingles whose hash mod width is i; the width, a power of two, is twice
+    the set's size or more. What two sets share cancels in their bitmaps' xor, so each bit of it needs a shingle of
+    its own that only one of them has."""
     width = min(MAX_BITS, max(MIN_BITS, 1 << max(0, 2 * len(s) - 1).bit_length()))
-    bits = np.zeros(width, np.uint8)
-    bits[(splitmix(s) & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+    odd = np.bincount((splitmix(s) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def _fold(x: np.ndarray, words: int) -> np.ndarray:
     while len(x) > words:
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return x
 
 
@@ -218,102 +213,154 @@ def overlap(p: np.ndarray, q: np.ndarray) -> int:
 
 
 def _links(width: int, percent: int):
-    """Rows (a, b, text_a, text_b), best sorted by a -> the pairs that link."""
+    """Rows sorted by (unit, role): a unit's texts (role 0), then its pairs (role 1) -> the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, np.zeros(0, np.uint64)
+        unit, sets = None, {}
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            keep = []
+            role = batch.column(3).to_numpy(zero_copy_only=False)
+            out: list[tuple[int, int]] = []
             at = 0
-            for b, data, off in blocks(iter([batch]), "text_b"):
-                for i, q in enumerate(shingle_sets(data, off, width), at):
-                    text = batch.column(2)[i].as_py() or ""
-                    if last != (ids[i], text):
-                        raw = np.frombuffer(text.encode(), np.uint8)
-                        last, last_set = (ids[i], text), shingle_sets(raw, np.array([0, len(raw)]), width)[0]
-                    both = overlap(last_set, q)
-                    if both and 100 * both >= percent * (len(last_set) + len(q) - both):
-                        keep.append(i)
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            ids_a, ids_b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            for b, data, off in blocks(iter([batch]), "text"):
+                own = shingle_sets(data, off, width)  # pairs have no text and give empty sets
+                for i in range(at, at + b.num_rows):
+                    if names[i] != unit:
+                        unit, sets = names[i], {}
+                    if role[i] == 0:
+                        sets.setdefault(ids_a[i], []).append(own[i - at])
+                        continue
+                    for p in sets.get(ids_a[i], ()):
+                        for q in sets.get(ids_b[i], ()):
+                            both = overlap(p, q)
+                            if both and 100 * both >= percent * (len(p) + len(q) - both):
+                                out.append((ids_a[i], ids_b[i]))
                 at += b.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return run
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Of the pairs (a, b), those that link. Only the texts of ids in pairs move; b's side twice, a's once."""
-    tb = split_by_ids(docs, "doc_id", pairs.select("b").distinct())[0].select(F.col("doc_id").alias("ib"), F.col("text").alias("text_b"))
-    ta = split_by_ids(docs, "doc_id", pairs.select("a").distinct())[0].select(F.col("doc_id").alias("ia"), F.col("text").alias("text_a"))
-    both = pairs.join(tb, F.col("b") == F.col("ib")).select("a", "b", "text_b").join(ta, F.col("a") == F.col("ia")).select("a", "b", "text_a", "text_b")
-    return scratch.save(both.mapInArrow(_links(width, percent), "a long, b long").distinct(), f"{name}-links")
+    """Of the pairs (a, b), those that link. pairs: stored.
+
+    Pairs that hang together are a family, cut into units of about UNIT by UNIT documents. A text goes to each unit in
+    which it has a pair, not to each pair; texts of ids without a pair stay where they are.
+    """
+    family = components(pairs, scratch, f"{name}-family")
+    size = family.groupBy("label").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("g"))
+    family = family.join(size, "label").select(F.col("id").alias("i"), "label", "g")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("g")).cast("int")
+    placed = scratch.save(pairs.join(family, F.col("a") == F.col("i")).select("label", block("a").alias("x"), block("b").alias("y"), "a", "b"), f"{name}-units")
+    wanted = placed.select("label", "x", "y", F.explode(F.array("a", "b")).alias("i")).distinct()
+    touched, _ = split_by_ids(docs, "doc_id", placed.select(F.explode(F.array("a", "b")).alias("i")).distinct())
+    texts = touched.join(wanted, F.col("doc_id") == F.col("i")).select("label", "x", "y", F.lit(0).alias("role"), F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "text")
+    rows = texts.unionByName(placed.select("label", "x", "y", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("string").alias("text")))
+    dealt = rows.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y", "role")
+    return scratch.save(dealt.mapInArrow(_links(width, percent), "a long, b long").distinct(), f"{name}-links")
 
 
 # ---------------------------------------------------------------- tiles
 
-def _tile(percent: int):
-    """Rows sorted by tile -> pairs of different components that the bitmaps' bound leaves."""
-
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        left = [r for r in rows if r[0] == 0]
-        right = [r for r in rows if r[0] > 0]
-        blocked = any(r[0] == 1 for r in right)
-        if not blocked:
-            right = left + right
-        if not left or len(right) < 2 and not blocked:
-            return []
-        words = min(len(r[4]) // 8 for r in (*left, *right))
+def _tile(percent: int, best: bool):
+    """Rows sorted by tile -> pairs of different components that the bitmaps' bound leaves; best: one for each row."""
+
+    def pairs(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+        # sizes that may link differ by 1 / p at most, so widths of bitmaps by a factor of two at most
+        left: dict[int, list[tuple]] = {}
+        right: dict[int, list[tuple]] = {}
+        for r in rows:
+            (left if r[0] == 0 else right).setdefault(len(r[4]) // 8, []).append(r)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for w, x in left.items():
+            if right:
+                for v in (w // 2, w, 2 * w):
+                    if v in right:
+                        out += compare(x, right[v], min(v, w), True)
+            else:
+                out += compare(x, x, w, True)
+                if 2 * w in left:
+                    out += compare(x, left[2 * w], w, False)
+        return out
+
+    def compare(left: list[tuple], right: list[tuple], words: int, ordered: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """ordered: a pair is met from both sides, but for rows of the next band."""
         fit = lambda rs: np.stack([_fold(np.frombuffer(r[4], np.uint64), words) for r in rs])
         x, y = fit(left), fit(right)
-        cols = lambda rs, k: np.array([r[k] for r in rs], np.int64)
-        ld, rd, ln, rn, lc, rc = cols(left, 1), cols(right, 1), cols(left, 2), cols(right, 2), cols(left, 3), cols(right, 3)
-        following = np.array([r[0] == 2 for r in right])
-        out: list[tuple[int, int]] = []
-        step = max(1, (1 << 22) // (len(right) * words))
+        cols = lambda rs: np.array([r[:4] for r in rs], np.int64).T
+        (_, ld, ln, lc), (role, rd, rn, rc) = cols(left), cols(right)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1, (1 << 21) // (len(right) * words))
         for i in range(0, len(left), step):
             j = slice(i, i + step)
-            apart = np.bitwise_count(x[j, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
             both = ln[j, None] + rn[None, :]
-            bound = np.minimum((both - apart) // 2, np.minimum(ln[j, None], rn[None, :]))
-            ok = ((100 + percent) * bound >= percent * both) & (lc[j, None] != rc[None, :])
-            ok &= following[None, :] | (ld[j, None] < rd[None, :])
-            out += [(int(ld[i + p]), int(rd[q])) for p, q in zip(*np.nonzero(ok), strict=True)]
+            ok = (100 + percent) * np.minimum(ln[j, None], rn[None, :]) >= percent * both
+            ok &= lc[j, None] != rc[None, :]
+            if ordered and not best:
+                ok &= (role == 2)[None, :] | (ld[j, None] < rd[None, :])
+            p, q = np.nonzero(ok)
+            if not len(p):
+                continue
+            apart = np.bitwise_count(x[i + p] ^ y[q]).sum(1, dtype=np.int64) if len(p) * 4 < ok.size else np.bitwise_count(x[j, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)[p, q]
+            total = both[p, q]
+            fits = (100 + percent) * ((total - apart) // 2) >= percent * total
+            p, q, share = p[fits], q[fits], ((total - apart) / total)[fits]
+            if best and len(p):
+                top = np.zeros(len(p), bool)
+                for side in (p, q):  # the best partner of each row on either side
+                    order = np.lexsort((-share, side))
+                    top[order[np.append(True, side[order][1:] != side[order][:-1])]] = True
+                p, q = p[top], q[top]
+            out.append((ld[i + p], rd[q]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows = None, []
-
-        def flush() -> list[tuple[int, int]]:
-            return pairs(rows) if len(rows) > 1 else []
-
         for b in batches:
-            found: list[tuple[int, int]] = []
+            found = []
             for r in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
                 if r[:4] != tile:
-                    found += flush()
+                    if len(rows) > 1:
+                        found += pairs(rows)
                     tile, rows = r[:4], []
                 rows.append(r[4:])
             yield _pairs(found)
-        yield _pairs(flush())
-
-    def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+        if len(rows) > 1:
+            yield _pairs(pairs(rows))
+
+    def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+        b = np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)])
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if len(a):
+            order = np.lexsort((high, low))
+            low, high = low[order], high[order]
+            new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+            low, high = low[new], high[new]
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
     return run
 
 
-def _tiled(docs: DataFrame, rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """rows: (key, doc, n, comp). Pairs (a, b) of different components that share a key and may link."""
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-    rows = scratch.save(rows.join(mixed.select("key", F.ceil(F.col("c") / TILE).cast("int").alias("g")), "key"), "mixed")
-    touched, _ = split_by_ids(docs, "doc_id", rows.select("doc").distinct())
-    bits = touched.select("doc_id", "text").mapInArrow(_as_bitmaps(width), "id long, bits binary")
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Of rows (key, doc, n, comp), those of keys with two components or more; of keys with the same documents, one."""
+    h, g = F.xxhash64("doc"), F.xxhash64("doc", F.lit(1))
+    low, high = lambda c: c.bitwiseAND(F.lit((1 << 31) - 1)), lambda c: F.shiftrightunsigned(c, 33)
+    same = [F.sum(f(c)).alias(f"s{i}") for i, (f, c) in enumerate(((low, h), (high, h), (low, g), (high, g)))]
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), *same).filter("lo < hi")
+    keys = keys.groupBy("c", "s0", "s1", "s2", "s3").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / TILE).cast("int").alias("g"))
+    return rows.join(keys, "key")
+
+
+def _tiled(rows: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and may link. rows: from _mixed(); bits: (id, bits)."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     side = lambda b, x, y, role: F.struct(b.alias("band"), x.alias("x"), y.alias("y"), F.lit(role).alias("role"))
     salt = F.pmod(F.xxhash64("doc"), F.col("g")).cast("int")
     every = F.sequence(F.lit(0), F.col("g") - 1)
     zero = F.lit(0)
-    one = F.array(side(F.col("_b"), zero, zero, 0), side(F.col("_b") - 1, zero, zero, 2))
+    one = F.array(side(zero, zero, zero, 0))  # a key of few rows is one tile
     many = F.concat(
         F.transform(every, lambda y: side(F.col("_b"), F.col("_s"), y, 0)),
         F.transform(every, lambda x: side(F.col("_b"), x, F.col("_s"), 1)),
@@ -322,7 +369,7 @@ def _tiled(docs: DataFrame, rows: DataFrame, width: int, percent: int, scratch:
     placed = rows.withColumn("_b", band).withColumn("_s", salt).select("key", "doc", "n", "comp", F.explode(F.when(F.col("g") == 1, one).otherwise(many)).alias("t"))
     placed = placed.join(bits, placed.doc == bits.id).select("key", "t.band", "t.x", "t.y", "t.role", "doc", "n", "comp", "bits")
     dealt = placed.repartition("key", "band", "x", "y").sortWithinPartitions("key", "band", "x", "y", "role")
-    return dealt.mapInArrow(_tile(percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_tile(percent, best), "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- the join
@@ -339,20 +386,29 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     copies = scratch.save(rows.filter("doc_id is not null").join(same.filter("c > 1").drop("c"), ["n", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
 
     keys = docs.mapInArrow(_prefixes(_levels(scan), width, percent), "key long, doc long, n int")
-    runs = scratch.save(keys.repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(_runs(percent), "key long, doc long, n int, pivot long"), "runs")
+    dealt = keys.repartition("key").sortWithinPartitions("key", F.xxhash64("doc"), "doc")
+    runs = scratch.save(dealt.mapInArrow(_runs, "key long, doc long, n int, pivot long, pivot_n int"), "runs")
 
     # pairs that share a good part of their prefixes; the tiles, with their bitmaps, look at all others
-    shared = runs.filter("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") * 100 * STAR >= F.col("n") * (100 - percent))
+    sizes = percent * F.greatest("n", "pivot_n") <= 100 * F.least("n", "pivot_n")
+    shared = runs.filter((F.col("doc") != F.col("pivot")) & sizes).groupBy("doc", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") * 100 * STAR >= F.col("n") * (100 - percent))
     most = shared.groupBy("doc").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
     near = _verified(docs, scratch.save(most.select(F.col("pivot").alias("a"), F.col("doc").alias("b")), "star"), width, percent, scratch, "star")
-    first = components(near.unionByName(copies), scratch, "near")
-
-    first_r = first.select(F.col("id").alias("i"), F.col("label").alias("l"))
-    tagged = runs.select("key", "doc", "n").join(first_r, F.col("doc") == F.col("i"), "left").select("key", "doc", "n", F.coalesce("l", "doc").alias("comp"))
-    rest = scratch.save(_tiled(docs, tagged, width, percent, scratch), "tiles")
-    more = _verified(docs, rest, width, percent, scratch, "tile")
-    la, lb = first.select(F.col("id").alias("xa"), F.col("label").alias("la")), first.select(F.col("id").alias("xb"), F.col("label").alias("lb"))
-    more = more.join(la, F.col("a") == F.col("xa"), "left").join(lb, F.col("b") == F.col("xb"), "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    second = components(more, scratch, "all").select(F.col("id").alias("i2"), F.col("label").alias("l2"))
-    out = rows.join(first_r, F.col("doc_id") == F.col("i"), "left").withColumn("c", F.coalesce("l", "doc_id")).join(second, F.col("c") == F.col("i2"), "left")
-    return out.select(F.col("doc_id").cast(kind).alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("l2", "c").cast(kind).alias("component_id"))
+    labels = components(near.unionByName(copies), scratch, "near")
+
+    def tagged(rows: DataFrame) -> DataFrame:
+        known = labels.select(F.col("id").alias("i"), F.col("label").alias("l"))
+        return rows.join(known, F.col("doc") == F.col("i"), "left").select(*rows.columns, F.coalesce("l", "doc").alias("comp"))
+
+    mixed = scratch.save(_mixed(tagged(runs.select("key", "doc", "n"))), "mixed")
+    touched, _ = split_by_ids(docs, "doc_id", mixed.select("doc").distinct())
+    bits = scratch.save(touched.select("doc_id", "text").mapInArrow(_as_bitmaps(width), "id long, bits binary"), "bits")
+    for best in (True, False):  # each document's best partners first: what they join leaves the second pass
+        if not best:
+            mixed = scratch.save(_mixed(tagged(mixed.select("key", "doc", "n"))), "mixed-2")
+        more = _verified(docs, scratch.save(_tiled(mixed, bits, percent, best), f"tiles-{best}"), width, percent, scratch, f"tile-{best}")
+        chain = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
+        labels = components(more.unionByName(chain), scratch, f"all-{best}")
+    first_r = labels.select(F.col("id").alias("i"), F.col("label").alias("l"))
+    out = rows.join(first_r, F.col("doc_id") == F.col("i"), "left").select(F.col("doc_id").cast(kind).alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("l", "doc_id").cast(kind).alias("component_id"))
+    return out
