@@ -54,6 +54,11 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fence(x: Column) -> Column:
+    """x, in a projection that filters are not pushed through: they would inline, and so repeat, all steps below it."""
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows that no model learns from: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

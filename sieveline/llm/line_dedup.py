@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, split_by_ids
+from .common import SPACES, Scratch, fence, split_by_ids
 
 #: Lines in a window.
 WINDOW = 3
@@ -98,4 +98,4 @@ def strip(joined: DataFrame, text: str, removed: str | None) -> DataFrame:
         F.size("_l") - F.aggregate("_g", F.lit(0), lambda a, g: a + g["e"] - g["b"])
     )
     extra = [lost.cast("long").alias(removed)] if removed else []
-    return step.select(*[out.alias(c) if c == text else F.col(f"`{c}`") for c in names if c != removed], *extra)
+    return step.select(*[fence(out).alias(c) if c == text else F.col(f"`{c}`") for c in names if c != removed], *extra)

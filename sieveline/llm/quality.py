@@ -22,7 +22,7 @@ from math import exp, lgamma, log, log1p
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, SPACES_RE
+from .common import SPACES, SPACES_RE, fence
 
 SYMBOLS = "#*$%&|<>"
 #: Bits of a packed window that hold its position; a Spark string has fewer words than 2 ** 31.
@@ -54,11 +54,6 @@ def _windows(words: Column) -> Column:
     )
 
 
-def _fence(x: Column) -> Column:
-    """x, in a projection that filters are not pushed through: they would inline, and so repeat, all array steps."""
-    return F.when(F.spark_partition_id() >= 0, x)
-
-
 def _near(a: Column, x: Column, i: Column, key) -> Column:
     return F.coalesce(key(F.get(a, i - 1)) == key(x), F.lit(False)) | F.coalesce(key(F.get(a, i + 1)) == key(x), F.lit(False))
 
@@ -87,7 +82,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     at = F.sort_array(F.transform(F.filter(g, lambda x, i: _near(g, x, i, lambda y: y["g"])), lambda x: x["i"]))
     step = step.select(*keep, *[x for x in names if x != "n_repeat_words"], at.alias("_at"))
     covered = F.aggregate(F.transform(q, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(q, k + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return step.select(*keep, *[_fence(F.coalesce(covered, F.lit(0)).cast("long")).alias(x) if x == "n_repeat_words" else x for x in names])
+    return step.select(*keep, *[fence(F.coalesce(covered, F.lit(0)).cast("long")).alias(x) if x == "n_repeat_words" else x for x in names])
 
 
 def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
