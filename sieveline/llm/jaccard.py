@@ -5,7 +5,7 @@ hashes; a shorter text is one shingle, a text without words the empty set, linke
 when 100 * |A & B| >= percent * |A | B|. The join is exact, up to 64-bit collisions.
 
 1. One scan gives each document its set's size and 128-bit digest, and a sketch of how many documents hold each
-   shingle (2 ** 20 counters of fixed size, summed).
+   shingle (2 ** 22 counters of fixed size, summed).
 2. Prefix rule: under one order of all shingles, two sets that link share a shingle among their first
    n - ceil(p * n) + 1. The order puts shingles that the sketch calls frequent last, so what a third of the corpus
    shares is rarely in a prefix. The sketch steers only the order; any order is exact. Equal sets within one task
@@ -17,8 +17,8 @@ when 100 * |A & B| >= percent * |A | B|. The join is exact, up to 64-bit collisi
    documents one stays. A few rows are one tile; more are dealt to (shingle, size band, block, block), with rows of
    that band and the next. A band is a factor of 1 / p wide, so tiles hold all pairs that sizes allow. In a tile,
    |A & B| <= (|A| + |B| - popcount(bitmap A ^ bitmap B)) / 2; pairs that this bound leaves are verified by
-   intersecting the sorted arrays. A first pass takes each row's best partner only, whose links join most of what
-   is linked; the second takes every pair that is still apart.
+   intersecting the sorted arrays. Tiles with many pairs give each row's best one first, whose links join most of
+   what is linked; a second pass takes every pair of these tiles that is still apart.
 
 Each link that is not inside a component after step 3 is found in step 4, so the components are those of all links.
 
@@ -39,13 +39,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks, split_by_ids, splitmix, word_hashes
 from .graph import components
 
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 CHUNK = 1 << 16
 #: A tile holds about this many rows of each side.
-TILE = 512
+TILE = 1024
 MIN_BITS, MAX_BITS = 256, 1 << 17
 #: A unit of verification holds about twice as many texts.
 UNIT = 256
+#: Tiles with more pairs a row than this give the best first.
+MANY = 2
 #: Step 3 takes pairs that share a STAR-th of a prefix or more.
 STAR = 5
 
@@ -112,17 +114,18 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            part = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.uint64)
-            total[k] = total[k] + part if k in total else part
+            part = np.frombuffer(blob.as_buffer(), np.uint32)
+            # counters stay below 2 ** 32: what is added stops there
+            total[k] = total[k] + np.minimum(part, ~total[k]) if k in total else part.copy()
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["kind", "blob"])
 
 
 def _levels(scan: DataFrame) -> np.ndarray:
-    """0 for shingles as rare as most, more by 1 for each doubling beyond them; 1 MB."""
-    rows = scan.filter("kind >= 0").select("kind", "blob").repartition(F.col("kind")).mapInArrow(_sum_chunks, "kind int, blob binary").collect()  # 8 MB at most
+    """0 for shingles as rare as most, more by 1 for each doubling beyond them; 4 MB."""
+    rows = scan.filter("kind >= 0").select("kind", "blob").repartition(F.col("kind")).mapInArrow(_sum_chunks, "kind int, blob binary").collect()  # 16 MB at most
     count = np.zeros(SKETCH, np.float64)
     for r in rows:
-        count[r["kind"] * CHUNK : (r["kind"] + 1) * CHUNK] = np.frombuffer(r["blob"], np.uint64)
+        count[r["kind"] * CHUNK : (r["kind"] + 1) * CHUNK] = np.frombuffer(r["blob"], np.uint32)
     base = max(8.0, count.mean() + 6 * count.mean() ** 0.5)  # beyond what chance puts in a counter
     return np.where(count > base, 1 + np.log2(np.maximum(count / base, 1)), 0).astype(np.uint8)
 
@@ -158,6 +161,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k, d, n = (np.append(h, x) for h, x in zip(held, (k, d, n), strict=True))
         if not len(k):
             continue
+        new = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))  # rows of one id may repeat a shingle
+        k, d, n = k[new], d[new], n[new]
         held = [k[-1:], d[-1:], n[-1:]]
         if len(k) == 1:
             continue
@@ -264,15 +269,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scrat
 # ---------------------------------------------------------------- tiles
 
 def _tile(percent: int, best: bool):
-    """Rows sorted by tile -> pairs of different components that the bitmaps' bound leaves; best: one for each row."""
+    """Rows sorted by tile -> pairs (a, b) of different components that the bitmaps' bound leaves.
 
-    def pairs(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    best: a tile with many pairs gives only each left row's best one, and a row with its key, to be taken up again.
+    """
+
+    def pairs(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         # sizes that may link differ by 1 / p at most, so widths of bitmaps by a factor of two at most
         left: dict[int, list[tuple]] = {}
         right: dict[int, list[tuple]] = {}
         for r in rows:
             (left if r[0] == 0 else right).setdefault(len(r[4]) // 8, []).append(r)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for w, x in left.items():
             if right:
                 for v in (w // 2, w, 2 * w):
@@ -284,20 +292,20 @@ def _tile(percent: int, best: bool):
                     out += compare(x, left[2 * w], w, False)
         return out
 
-    def compare(left: list[tuple], right: list[tuple], words: int, ordered: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    def compare(left: list[tuple], right: list[tuple], words: int, ordered: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """ordered: a pair is met from both sides, but for rows of the next band."""
         fit = lambda rs: np.stack([_fold(np.frombuffer(r[4], np.uint64), words) for r in rs])
         x, y = fit(left), fit(right)
         cols = lambda rs: np.array([r[:4] for r in rs], np.int64).T
         (_, ld, ln, lc), (role, rd, rn, rc) = cols(left), cols(right)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         step = max(1, (1 << 21) // (len(right) * words))
         for i in range(0, len(left), step):
             j = slice(i, i + step)
             both = ln[j, None] + rn[None, :]
             ok = (100 + percent) * np.minimum(ln[j, None], rn[None, :]) >= percent * both
             ok &= lc[j, None] != rc[None, :]
-            if ordered and not best:
+            if ordered:
                 ok &= (role == 2)[None, :] | (ld[j, None] < rd[None, :])
             p, q = np.nonzero(ok)
             if not len(p):
@@ -306,15 +314,18 @@ def _tile(percent: int, best: bool):
             total = both[p, q]
             fits = (100 + percent) * ((total - apart) // 2) >= percent * total
             p, q, share = p[fits], q[fits], ((total - apart) / total)[fits]
-            if best and len(p):
-                top = np.zeros(len(p), bool)
-                for side in (p, q):  # the best partner of each row on either side
-                    order = np.lexsort((-share, side))
-                    top[order[np.append(True, side[order][1:] != side[order][:-1])]] = True
-                p, q = p[top], q[top]
-            out.append((ld[i + p], rd[q]))
+            out.append((ld[i + p], rd[q], share))
         return out
 
+    def chosen(key: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, int | None]:
+        found = pairs(rows)
+        a, b, share = (np.concatenate([np.zeros(0, t), *(f[k] for f in found)]) for k, t in enumerate((np.int64, np.int64, float)))
+        if not best or len(a) <= MANY * len(rows):
+            return a, b, None
+        order = np.lexsort((-share, a))
+        top = order[np.append(True, a[order][1:] != a[order][:-1])]
+        return a[top], b[top], key
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows = None, []
         for b in batches:
@@ -322,14 +333,14 @@ def _tile(percent: int, best: bool):
             for r in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
                 if r[:4] != tile:
                     if len(rows) > 1:
-                        found += pairs(rows)
+                        found.append(chosen(tile[0], rows))
                     tile, rows = r[:4], []
                 rows.append(r[4:])
             yield _pairs(found)
         if len(rows) > 1:
-            yield _pairs(pairs(rows))
+            yield _pairs([chosen(tile[0], rows)])
 
-    def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def _pairs(found: list[tuple[np.ndarray, np.ndarray, int | None]]) -> pa.RecordBatch:
         a = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
         b = np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)])
         low, high = np.minimum(a, b), np.maximum(a, b)
@@ -338,23 +349,26 @@ def _tile(percent: int, best: bool):
             low, high = low[order], high[order]
             new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
             low, high = low[new], high[new]
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+        cut = [f[2] for f in found if f[2] is not None]
+        none = [None] * len(cut)
+        return pa.RecordBatch.from_arrays([pa.array([*low.tolist(), *none], pa.int64()), pa.array([*high.tolist(), *none], pa.int64()), pa.array([None] * len(low) + cut, pa.int64())], ["a", "b", "key"])
 
     return run
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """Of rows (key, doc, n, comp), those of keys with two components or more; of keys with the same documents, one."""
-    h, g = F.xxhash64("doc"), F.xxhash64("doc", F.lit(1))
-    low, high = lambda c: c.bitwiseAND(F.lit((1 << 31) - 1)), lambda c: F.shiftrightunsigned(c, 33)
-    same = [F.sum(f(c)).alias(f"s{i}") for i, (f, c) in enumerate(((low, h), (high, h), (low, g), (high, g)))]
+    same = [F.bit_xor(F.xxhash64("doc")).alias("s0"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("s1")]  # a key has a document once
     keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), *same).filter("lo < hi")
-    keys = keys.groupBy("c", "s0", "s1", "s2", "s3").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / TILE).cast("int").alias("g"))
+    keys = keys.groupBy("c", "s0", "s1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / TILE).cast("int").alias("g"))
     return rows.join(keys, "key")
 
 
 def _tiled(rows: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may link. rows: from _mixed(); bits: (id, bits)."""
+    """(a, b, key): pairs of different components that share a key and may link; where best cut a tile short, its key.
+
+    rows: from _mixed(); bits: (id, bits).
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     side = lambda b, x, y, role: F.struct(b.alias("band"), x.alias("x"), y.alias("y"), F.lit(role).alias("role"))
     salt = F.pmod(F.xxhash64("doc"), F.col("g")).cast("int")
@@ -369,7 +383,7 @@ def _tiled(rows: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFr
     placed = rows.withColumn("_b", band).withColumn("_s", salt).select("key", "doc", "n", "comp", F.explode(F.when(F.col("g") == 1, one).otherwise(many)).alias("t"))
     placed = placed.join(bits, placed.doc == bits.id).select("key", "t.band", "t.x", "t.y", "t.role", "doc", "n", "comp", "bits")
     dealt = placed.repartition("key", "band", "x", "y").sortWithinPartitions("key", "band", "x", "y", "role")
-    return dealt.mapInArrow(_tile(percent, best), "a long, b long").distinct()
+    return dealt.mapInArrow(_tile(percent, best), "a long, b long, key long").distinct()
 
 
 # ---------------------------------------------------------------- the join
@@ -403,12 +417,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     mixed = scratch.save(_mixed(tagged(runs.select("key", "doc", "n"))), "mixed")
     touched, _ = split_by_ids(docs, "doc_id", mixed.select("doc").distinct())
     bits = scratch.save(touched.select("doc_id", "text").mapInArrow(_as_bitmaps(width), "id long, bits binary"), "bits")
-    for best in (True, False):  # each document's best partners first: what they join leaves the second pass
-        if not best:
-            mixed = scratch.save(_mixed(tagged(mixed.select("key", "doc", "n"))), "mixed-2")
-        more = _verified(docs, scratch.save(_tiled(mixed, bits, percent, best), f"tiles-{best}"), width, percent, scratch, f"tile-{best}")
+    for best in (True, False):  # from tiles with many pairs the best first: what they join leaves the second pass
+        found = scratch.save(_tiled(mixed, bits, percent, best), f"tiles-{best}")
+        more = _verified(docs, found.filter("key is null").select("a", "b"), width, percent, scratch, f"tile-{best}")
         chain = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
         labels = components(more.unionByName(chain), scratch, f"all-{best}")
+        short = found.filter("key is not null").select("key").distinct()
+        if not best or short.isEmpty():
+            break
+        mixed = scratch.save(_mixed(tagged(mixed.join(short, "key").select("key", "doc", "n"))), "mixed-2")
     first_r = labels.select(F.col("id").alias("i"), F.col("label").alias("l"))
     out = rows.join(first_r, F.col("doc_id") == F.col("i"), "left").select(F.col("doc_id").cast(kind).alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("l", "doc_id").cast(kind).alias("component_id"))
     return out
