@@ -98,7 +98,9 @@ class IndexBuilder:
         if "text" not in kept.columns:
             kept = source.with_text(kept)
         # a skipped file may still have started a new shard, so shards are dealt before the skip
-        sharded = source.assign_shards(judged.select("file_idx", raw), self.options.shard_max, raw).select("file_idx", "shard")
+        # ... unless no shard could hold it
+        fits = (F.col("skip_reason") != "TooLarge") | (F.octet_length(raw) <= self.options.shard_max)
+        sharded = source.assign_shards(judged.select("file_idx", F.when(fits, F.col(raw)).alias(raw)), self.options.shard_max, raw).select("file_idx", "shard")
         kept = kept.join(sharded, "file_idx").select("shard", "file_idx", "path", "text").filter(F.col("text").isNotNull())
         kept.write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/contents")
         kept = corpus.sparkSession.read.parquet(f"{folder}/contents").withColumn("shard", F.col("shard").cast("bigint"))

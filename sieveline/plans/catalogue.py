@@ -1,12 +1,14 @@
 """The registered queries of the search engine and their SQL.
 
-All run on the whole documents table as a corpus: file_idx is doc_id, the path source/lang/doc_id.txt. Queries over
-postings take documents of one source, a predicate that reaches the scan, or return aggregates.
+All run on the whole documents table as a corpus: file_idx is doc_id, the path source/lang/doc_id.txt. Fifteen queries
+over postings take documents of one source, a predicate that reaches the scan; each has a twin, <name>_whole, that
+does the same for every document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -322,22 +324,38 @@ def _one(spark, sf_dir):
 ONE_C = "path like 'src3/%'"
 
 
-@query(f"with {tri_cte(ONE_C)} select file_idx, tri, pos::bigint as pos, strlen(left(text, pos))::bigint as byte_offset from t")
-def trigram_postings(spark, sf_dir):
-    return ix.postings(_one(spark, sf_dir))
+#: Documents that an index takes whatever its limits.
+ADMITTED = "(strlen(text) = 0 or strlen(text) >= 3 and not contains(text, chr(0)))"
+
+
+def one_and_whole(sql: str, stored: bool = False):
+    """Registers f(corpus or index) for one source, and as <name>_whole for all documents, with the predicate widened."""
+
+    def register(f: Callable) -> Callable:
+        name = f"{f.__name__}_whole"
+        _queries[name] = lambda spark, sf_dir: f((_stored_whole if stored else docs)(spark, sf_dir))
+        _sql[name] = sql.replace(ONE_C, ADMITTED if stored else "true")
+        return query(sql)(wraps(f)(lambda spark, sf_dir: f((_stored if stored else _one)(spark, sf_dir))))
+
+    return register
+
+
+@one_and_whole(f"with {tri_cte(ONE_C)} select file_idx, tri, pos::bigint as pos, strlen(left(text, pos))::bigint as byte_offset from t")
+def trigram_postings(corpus):
+    return ix.postings(corpus)
 
 
 CODE = "((ord(substring(tri, 1, 1))::bigint << 42) | (ord(substring(tri, 2, 1))::bigint << 21) | ord(substring(tri, 3, 1))::bigint)"
 
 
-@query(f"with {tri_cte(ONE_C)} select distinct tri, {CODE} as ngram from t")
-def trigram_encode(spark, sf_dir):
-    return ix.postings(_one(spark, sf_dir)).select("tri").distinct().select("tri", ngrams.encoded(F.col("tri")).alias("ngram"))
+@one_and_whole(f"with {tri_cte(ONE_C)} select distinct tri, {CODE} as ngram from t")
+def trigram_encode(corpus):
+    return ix.postings(corpus).select("tri").distinct().select("tri", ngrams.encoded(F.col("tri")).alias("ngram"))
 
 
-@query(f"with {tri_cte(ONE_C)}, n as (select distinct {CODE} as ngram from t) select ngram, chr((ngram >> 42)::integer) || chr(((ngram >> 21) & 2097151)::integer) || chr((ngram & 2097151)::integer) as tri from n")
-def trigram_decode(spark, sf_dir):
-    n = ix.postings(_one(spark, sf_dir)).select("tri").distinct().select(ngrams.encoded(F.col("tri")).alias("ngram"))
+@one_and_whole(f"with {tri_cte(ONE_C)}, n as (select distinct {CODE} as ngram from t) select ngram, chr((ngram >> 42)::integer) || chr(((ngram >> 21) & 2097151)::integer) || chr((ngram & 2097151)::integer) as tri from n")
+def trigram_decode(corpus):
+    n = ix.postings(corpus).select("tri").distinct().select(ngrams.encoded(F.col("tri")).alias("ngram"))
     return n.select("ngram", ngrams.decoded(F.col("ngram")).alias("tri"))
 
 
@@ -347,10 +365,10 @@ def case_variants(spark, sf_dir):
     return r.select("rune", F.array_join(F.array_sort(ngrams.rune_variants(F.col("rune"))), ",").alias("variants"))
 
 
-@query(f"""with {tri_cte(ONE_C)}, d as (select distinct tri, substring(tri, 1, 1) as a, substring(tri, 2, 1) as b, substring(tri, 3, 1) as c from t where not regexp_matches(tri, '[ßİ]'))
+@one_and_whole(f"""with {tri_cte(ONE_C)}, d as (select distinct tri, substring(tri, 1, 1) as a, substring(tri, 2, 1) as b, substring(tri, 3, 1) as c from t where not regexp_matches(tri, '[ßİ]'))
 select distinct tri, x || y || z as variant from (select tri, unnest([a, lower(a), upper(a)]) as x, b, c from d), lateral (select unnest([b, lower(b), upper(b)]) as y), lateral (select unnest([c, lower(c), upper(c)]) as z)""")
-def case_trigrams(spark, sf_dir):
-    t = ix.postings(_one(spark, sf_dir)).select("tri").distinct().filter(~F.col("tri").rlike("[ßİ]"))
+def case_trigrams(corpus):
+    t = ix.postings(corpus).select("tri").distinct().filter(~F.col("tri").rlike("[ßİ]"))
     return t.select("tri", F.explode(ngrams.trigram_variants(F.col("tri"))).alias("variant"))
 
 
@@ -359,9 +377,9 @@ def posting_sizes(spark, sf_dir):
     return ix.tri_stats(ix.positions(docs(spark, sf_dir)))
 
 
-@query(f"with {tri_cte(ONE_C)} select file_idx, tri, count(*) as n, string_agg(pos::varchar, ',' order by pos) as positions from t group by 1, 2")
-def posting_lists(spark, sf_dir):
-    p = ix.posting_lists(ix.postings(_one(spark, sf_dir)))
+@one_and_whole(f"with {tri_cte(ONE_C)} select file_idx, tri, count(*) as n, string_agg(pos::varchar, ',' order by pos) as positions from t group by 1, 2")
+def posting_lists(corpus):
+    p = ix.posting_lists(ix.postings(corpus))
     return p.select("file_idx", "tri", F.size("positions").cast("bigint").alias("n"), F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
@@ -402,21 +420,21 @@ def posting_case_union(spark, sf_dir):
     return ix.positions(docs(spark, sf_dir)).filter(F.col("tri").isin(trigram_variants("the"))).select("file_idx", "pos")
 
 
-@query(f"with {tri_cte(ONE_C)}, d as (select file_idx, tri, pos, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select file_idx, tri, pos::bigint as pos, delta::bigint as delta from d")
-def posting_deltas(spark, sf_dir):
+@one_and_whole(f"with {tri_cte(ONE_C)}, d as (select file_idx, tri, pos, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select file_idx, tri, pos::bigint as pos, delta::bigint as delta from d")
+def posting_deltas(corpus):
     w = Window.partitionBy("file_idx", "tri").orderBy("pos")
-    return ix.postings(_one(spark, sf_dir)).select("file_idx", "tri", "pos", (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0))).alias("delta"))
+    return ix.postings(corpus).select("file_idx", "tri", "pos", (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0))).alias("delta"))
 
 
-@query(f"with {tri_cte(ONE_C)} select file_idx, tri, string_agg(pos::varchar, ',' order by pos) as positions from t group by 1, 2")
-def delta_roundtrip(spark, sf_dir):
-    p = ix.posting_lists(ix.postings(_one(spark, sf_dir))).withColumn("d", tx.deltas(F.col("positions")))
+@one_and_whole(f"with {tri_cte(ONE_C)} select file_idx, tri, string_agg(pos::varchar, ',' order by pos) as positions from t group by 1, 2")
+def delta_roundtrip(corpus):
+    p = ix.posting_lists(ix.postings(corpus)).withColumn("d", tx.deltas(F.col("positions")))
     return p.select("file_idx", "tri", F.array_join(F.transform(tx.undeltas(F.col("d")), lambda x: x.cast("string")), ",").alias("positions"))
 
 
-@query(f"with {tri_cte(ONE_C)}, d as (select tri, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select tri, sum(case when delta < 128 then 1 when delta < 16384 then 2 else 3 end)::bigint as bytes from d group by tri")
-def posting_bytes(spark, sf_dir):
-    return px.posting_bytes(ix.postings(_one(spark, sf_dir)))
+@one_and_whole(f"with {tri_cte(ONE_C)}, d as (select tri, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select tri, sum(case when delta < 128 then 1 when delta < 16384 then 2 else 3 end)::bigint as bytes from d group by tri")
+def posting_bytes(corpus):
+    return px.posting_bytes(ix.postings(corpus))
 
 
 @query("select range::bigint * range * 7919 as value, greatest(1, ceil(length(bin(range::bigint * range * 7919)) / 7.0))::bigint as bytes, range::bigint * range * 7919 as decoded from range(0, 3000)")
@@ -438,60 +456,74 @@ def candidate_files_or(spark, sf_dir):
     return p.select("file_idx").distinct()
 
 
-@query(f"with {tri_cte(ONE_C)}, d as (select tri, row_number() over (order by tri) as rn, count(*) over () as n from (select distinct tri from t)) select least((rn - 1) // 256, greatest(0, ceil((n - 512) / 256.0)::bigint))::bigint as bucket, min(tri) as first_tri, count(*) as entries from d group by 1")
-def bucket_directory(spark, sf_dir):
-    return ix.bucket_directory(ix.postings(_one(spark, sf_dir)).select("tri").distinct(), 512)
+@one_and_whole(f"with {tri_cte(ONE_C)}, d as (select tri, row_number() over (order by tri) as rn, count(*) over () as n from (select distinct tri from t)) select least((rn - 1) // 256, greatest(0, ceil((n - 512) / 256.0)::bigint))::bigint as bucket, min(tri) as first_tri, count(*) as entries from d group by 1")
+def bucket_directory(corpus):
+    return ix.bucket_directory(ix.postings(corpus).select("tri").distinct(), 512)
 
 
 # ---------------------------------------------------------------- through a stored index
 
-def _stored(spark, sf_dir):
-    """An index of one source's documents, built once a session in the warehouse, which executors share."""
-    tag = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sieveline-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+def _opened(spark, sf_dir, name: str, options: source.BuilderOptions, corpus: Callable):
+    """The named index, built once a session in the warehouse, which executors share."""
+    tag = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
     try:
         return ix.Index(spark, [tag])
     except ix.InvalidIndex:
-        builder = ix.IndexBuilder(source.BuilderOptions(shard_max=100_000))
+        builder = ix.IndexBuilder(options)
         builder.add_extension("word_counts", word_counts)
-        builder.build(_one(spark, sf_dir), tag)
+        builder.build(corpus(spark, sf_dir), tag)
         return ix.Index(spark, [tag])
 
 
+def _stored(spark, sf_dir):
+    """An index of one source's documents."""
+    return _opened(spark, sf_dir, "sieveline", source.BuilderOptions(shard_max=100_000), _one)
+
+
+#: No limit on trigrams, and a shard holds the longest admitted document; too small and binary documents stay out.
+WHOLE = source.BuilderOptions(shard_max=16 << 20, file_max=16 << 20, trigram_max=16 << 20)
+
+
+def _stored_whole(spark, sf_dir):
+    """An index of every admitted document."""
+    return _opened(spark, sf_dir, "sieveline-whole", WHOLE, docs)
+
+
 def word_counts(corpus: DataFrame) -> DataFrame:
     """The sample extension: words of each file."""
     return corpus.select("file_idx", F.size(F.filter(F.split("text", "[ \\n]+"), lambda x: x != "")).cast("bigint").alias("words"))
 
 
-@query(literal_sql("there", where=ONE_C))
-def index_literal(spark, sf_dir):
-    return px.search(_stored(spark, sf_dir), _q("there"))
+@one_and_whole(literal_sql("there", where=ONE_C), stored=True)
+def index_literal(index):
+    return px.search(index, _q("there"))
 
 
-@query(literal_sql("there", False, where=ONE_C))
-def index_literal_ci(spark, sf_dir):
-    return px.search(_stored(spark, sf_dir), _q("there", case_sensitive=False))
+@one_and_whole(literal_sql("there", False, where=ONE_C), stored=True)
+def index_literal_ci(index):
+    return px.search(index, _q("there", case_sensitive=False))
 
 
-@query(regex_sql("there[a-z]+ (?:on|of)", where=ONE_C))
-def index_regex(spark, sf_dir):
-    return px.search(_stored(spark, sf_dir), _q("there[a-z]+ (on|of)", True))
+@one_and_whole(regex_sql("there[a-z]+ (?:on|of)", where=ONE_C), stored=True)
+def index_regex(index):
+    return px.search(index, _q("there[a-z]+ (on|of)", True))
 
 
-@query(literal_sql("the", where=ONE_C, tail="order by file_idx, byte_offset limit 40"))
-def multi_shard_merge(spark, sf_dir):
-    return px.search(_stored(spark, sf_dir), _q("the", max_matches=40))
+@one_and_whole(literal_sql("the", where=ONE_C, tail="order by file_idx, byte_offset limit 40"), stored=True)
+def multi_shard_merge(index):
+    return px.search(index, _q("the", max_matches=40))
 
 
-@query(f"with {C} select file_idx, len(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> ''))::bigint as words from c where {ONE_C}")
-def extension_section(spark, sf_dir):
-    return _stored(spark, sf_dir).table("word_counts").select("file_idx", "words")
+@one_and_whole(f"with {C} select file_idx, len(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> ''))::bigint as words from c where {ONE_C}", stored=True)
+def extension_section(index):
+    return index.table("word_counts").select("file_idx", "words")
 
 
-@query(f"""with {tri_cte(ONE_C)}, g(idx, tri) as (values {GRAMS}), f as (select g.idx, g.tri, count(t.tri) as freq from g left join t using (tri) group by 1, 2),
+@one_and_whole(f"""with {tri_cte(ONE_C)}, g(idx, tri) as (values {GRAMS}), f as (select g.idx, g.tri, count(t.tri) as freq from g left join t using (tri) group by 1, 2),
 two as (select min(idx) as i, max(idx) as j from (select idx from f order by freq, idx limit 2)),
 cand as (select distinct a.file_idx, a.pos - two.i as pos from two join t a on a.tri = substring('{WORD}', two.i + 1, 3) join t b on b.tri = substring('{WORD}', two.j + 1, 3) and b.file_idx = a.file_idx and b.pos = a.pos + two.j - two.i where a.pos >= two.i),
 d as (select t.tri, t.pos - coalesce(lag(t.pos) over (partition by t.file_idx, t.tri order by t.pos), 0) as delta from t, two where t.tri in (substring('{WORD}', two.i + 1, 3), substring('{WORD}', two.j + 1, 3))),
 hits as (select count(*) as n from (select file_idx, text, unnest(generate_series(1, length(text) - {len(WORD) - 1})) as i from c where {ONE_C} and contains(text, '{WORD}')) where substring(text, i, {len(WORD)}) = '{WORD}')
-select {len(WORD) - 2}::bigint as ngram_lookups, (select count(*) from cand) as candidates_checked, (select n from hits) as matches_found, (select sum(case when delta < 128 then 1 when delta < 16384 then 2 else 3 end)::bigint from d) as bytes_loaded, true as used_trigram_filtering""")
-def search_stats(spark, sf_dir):
-    return px.search_stats(_stored(spark, sf_dir), _q(WORD))
+select {len(WORD) - 2}::bigint as ngram_lookups, (select count(*) from cand) as candidates_checked, (select n from hits) as matches_found, (select sum(case when delta < 128 then 1 when delta < 16384 then 2 else 3 end)::bigint from d) as bytes_loaded, true as used_trigram_filtering""", stored=True)
+def search_stats(index):
+    return px.search_stats(index, _q(WORD))
