@@ -372,6 +372,21 @@ def case_trigrams(corpus):
     return t.select("tri", F.explode(ngrams.trigram_variants(F.col("tri"))).alias("variant"))
 
 
+def case_variants_all(spark, sf_dir):
+    """case_variants of every code point, as an array. No SQL: DuckDB maps sharp s and dotted capital I otherwise."""
+    r = docs(spark, sf_dir).select(F.explode(ngrams.runes(F.col("text"))).alias("rune")).distinct()
+    return r.select("rune", F.array_sort(ngrams.rune_variants(F.col("rune"))).alias("variants"))
+
+
+def case_trigrams_all(spark, sf_dir):
+    """case_trigrams of every trigram of every document. No SQL, for the same reason."""
+    t = ix.positions(docs(spark, sf_dir)).select("tri").distinct()
+    return t.select("tri", F.explode(ngrams.trigram_variants(F.col("tri"))).alias("variant"))
+
+
+_queries |= {f.__name__: f for f in (case_variants_all, case_trigrams_all)}
+
+
 @query(f"with {tri_cte()} select tri, count(*) as freq, count(distinct file_idx) as docs from t group by tri")
 def posting_sizes(spark, sf_dir):
     return ix.tri_stats(ix.positions(docs(spark, sf_dir)))
