@@ -5,6 +5,8 @@ counts once. The logit is w0 + sum w_i + sum over pairs <v_i, v_j>, so an insult
 weigh more than both weights added. The machine is fitted by Adagrad on a bounded sample of labelled rows:
 `per_class` rows of each label at most, those with the smallest hash of doc_id; `max_terms` of their cells, those
 with the largest chi-square, `min_chi` at least, that `min_docs` of the texts hold. Everything else reads every whole text.
+Where a label has more rows than the sample, w0 is moved by the log of the two sampling fractions' ratio, so scores
+mean the share of toxic rows among all labelled rows, not among the sampled ones.
 
 Nulls and edges: a null or empty text has no terms and scores sigmoid(w0). Labels that are null, or whose document
 is missing, take no part. Repeated rows score alike. Without labels of both kinds every score is 0. The input's
@@ -118,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = [r for k in (0, 1) for r in known.filter(F.col(label) == k).select(doc_id, label).orderBy(F.xxhash64(doc_id), doc_id).limit(per_class).collect()]
     marks = {r[0]: int(r[1]) for r in chosen}
+    total = {int(r[0]): r[1] for r in known.groupBy(label).count().collect()}  # one row a label
     if len(set(marks.values())) < 2:
         return None
     kind = docs.schema[doc_id].dataType
@@ -135,7 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     y = np.array([marks[r[0]] for r in got])
     if len(set(y.tolist())) < 2:
         return None
-    return fit([np.frombuffer(r[1], np.int32) for r in got], y, **kw)
+    machine = fit([np.frombuffer(r[1], np.int32) for r in got], y, **kw)
+    drawn = {k: min(n, per_class) for k, n in total.items()}
+    machine.w0 += float(np.log(total[1] / drawn[1]) - np.log(total[0] / drawn[0]))
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
