@@ -8,8 +8,9 @@ them from hosts with blocked pages, so who links to blocked hosts is distrusted.
 at least `threshold` and more than its trust, both in units of the teleport share.
 
 Edges are counted per pair of hosts before anything is joined, so a host with a third of all pages is one row with
-partial sums. Each round is one join and one sum over host edges, written to the shared folder; rounds end at
-`rounds` or when the largest change is below `tolerance`. Without links between hosts there is no round.
+partial sums. Each round is one join and one sum over host edges, written to the shared folder; rounds end when the
+largest change is below `tolerance`, which is so after log(tolerance / seed mass) / log(damping) rounds at most, as
+all changes of a round add up to no more than `damping` of the last one's. Without links between hosts there is no round.
 
 Nulls and edges: a null url or one without :// has an empty host and path, fits no rule and is allowed; the empty host
 is no node. A null html has no links. Repeated pages count each. An empty table gives no rows. Extra columns pass
@@ -18,6 +19,8 @@ through; host, path, rule and verdict are replaced.
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +62,7 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust). edges: (src, dst, w). seeds: (host, good, bad), shares from 0 to 1."""
     edges = scratch.save(edges, "edges")
     state = scratch.save(seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "state0")
@@ -69,7 +72,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     in_w = edges.groupBy("dst").agg(F.sum("w").alias("in_w"))
     flow = edges.join(out_w, "src").join(in_w, "dst").select("src", "dst", (F.col("w") / F.col("out_w")).alias("along"), (F.col("w") / F.col("in_w")).alias("against"))
     flow = scratch.save(flow, "flow")
-    for k in range(1, rounds + 1):
+    mass = seeds.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] or 0.0
+    for k in range(1, ceil(log(tolerance / max(1.0, mass)) / log(damping)) + 2):
         trust = flow.join(state, flow.src == state.host).select(F.col("dst").alias("host"), (F.col("along") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
         distrust = flow.join(state, flow.dst == state.host).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("against") * F.col("distrust")).alias("d"))
         start = seeds.select("host", (F.col("good") / damping).alias("t"), (F.col("bad") / damping).alias("d"))
