@@ -303,6 +303,13 @@ def rune_to_doc(spark, sf_dir):
     return e.filter(first <= last).select("file_idx", "lo", F.explode(F.sequence(first, last)).alias("k")).select((F.col("k") * 997).cast("bigint").alias("rune"), "file_idx", (F.col("k") * 997 - F.col("lo")).cast("bigint").alias("local"))
 
 
+@query(f"with {C}, e as (select file_idx, length(text) as n, sum(length(text)) over (order by file_idx) as hi from c) select file_idx, (hi - n)::bigint as first_rune, (hi - 1)::bigint as last_rune from e where n > 0")
+def rune_to_doc_ends(spark, sf_dir):
+    """The first and the last global code point of every document that has any."""
+    e = ix.files(docs(spark, sf_dir).filter(F.col("text").isNotNull())).select("file_idx", F.col("end_rune").alias("hi"), F.lag("end_rune", 1, 0).over(Window.orderBy("file_idx")).alias("lo"))
+    return e.filter("hi > lo").select("file_idx", F.col("lo").cast("bigint").alias("first_rune"), (F.col("hi") - 1).cast("bigint").alias("last_rune"))
+
+
 @query(f"""with {C}, s as (select file_idx // 256 as shard, count(*) as n from c group by 1), o as (select shard, coalesce(sum(n) over (order by shard rows between unbounded preceding and 1 preceding), 0) as base from s)
 select c.file_idx, o.shard::bigint as shard, (row_number() over (partition by o.shard order by file_idx) - 1)::bigint as local_idx, (o.base + row_number() over (partition by o.shard order by file_idx) - 1)::bigint as global_idx from c join o on o.shard = c.file_idx // 256""")
 def global_file_resolve(spark, sf_dir):
