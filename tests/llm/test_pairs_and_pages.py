@@ -80,12 +80,21 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == plain_join(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("percent", [1, 30, 50, 90, 100])
+def test_jaccard_percents(spark, monkeypatch, percent):
+    """Without the star every link must come from tiles, between bitmaps of all widths that sizes allow."""
+    monkeypatch.setattr(jaccard, "STAR", 0)
+    texts = [" ".join(f"s{i}" for i in range(k)) for k in (104, 304, 34, 3004, 120, 1000)] + families(5, 4) + ["a b c d e f", "a b c d e f g h i j"]
+    got = jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == plain_join(list(enumerate(texts)), percent)
+
+
 def test_bitmap_bound():
     rng = np.random.default_rng(1)
     pool = common.splitmix(np.arange(5000, dtype=np.uint64))
-    for _ in range(200):
+    for k in range(200):
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 900))) for _ in range(2))
-        x, y = jaccard.bitmap(a), jaccard.bitmap(b)
+        x, y = (jaccard.bitmap(s, (75, 30, 90)[k % 3], k % 2 > 0) for s in (a, b))
         w = min(len(x), len(y))
         apart = int(np.bitwise_count(jaccard._fold(x, w) ^ jaccard._fold(y, w)).sum())
         assert jaccard.overlap(a, b) == len(np.intersect1d(a, b)) <= (len(a) + len(b) - apart) // 2
@@ -102,7 +111,11 @@ def test_runs_over_batches():
         for k, d, _ in rows:
             first.setdefault(k, d)
         many = Counter(key.tolist())
-        assert got == [(k, d, n, first[k], 9) for k, d, n in rows if many[k] > 1]
+        assert [g for g in got if g[2] >= 0] == [(k, d, n, first[k], 9) for k, d, n in rows if many[k] > 1]
+        ends = [g for g in got if g[2] < 0]
+        assert [g[0] for g in ends] == sorted(k for k in many if many[k] > 1)
+        for k, a, _, b, _ in ends:
+            assert (a, b) == jaccard._digest(np.array([d for x, d, _ in rows if x == k], np.uint64))
 
 
 def test_components(spark):
