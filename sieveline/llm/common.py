@@ -6,6 +6,7 @@ the next. All hashes are 64-bit, fixed by the splitmix64 rule below, and the sam
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir. Where none is set, one of our own if all runs in one process, else an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that executors share")
         root = tempfile.mkdtemp(prefix="sieveline-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -54,6 +57,23 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many _ in front as it needs to differ from all columns, which Spark compares without case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fence(x: Column) -> Column:
     """x, in a projection that filters are not pushed through: they would inline, and so repeat, all steps below it."""
     return F.when(F.spark_partition_id() >= 0, x)
@@ -67,18 +87,20 @@ def held_out(doc_id: Column) -> Column:
 def split_by_ids(docs: DataFrame, doc_id: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose id may be among ids, rows whose id is not), without moving a row of docs.
 
-    ids: one column. A bitmap of hashed ids is broadcast: 8 bits an id, 2 ** 27 bits (16 MB) at most. More ids
-    only mean more false "may be", which a later join drops.
+    ids: one column. A bitmap of hashed ids is broadcast: 8 bits an id, 2 ** 27 bits (16 MB) at most. Beyond 1.7e7 ids
+    "may be" becomes true of ever more rows, from 1e8 of nearly all: the result holds, for a later join drops
+    them, but that join then moves the whole table.
     """
     (id_name,) = ids.columns
     bits = 1 << min(27, max(20, (8 * ids.count()).bit_length()))
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    maps = ids.filter(F.col(id_name).isNotNull()).groupBy((spot(F.col(id_name)) / 32768).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(spot(F.col(id_name)) % 32768).alias("_bits"))
-    at = spot(F.col(f"d.`{doc_id}`"))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bucket, bitset = unused(docs.columns, "_bucket", "_bits")
+    maps = ids.filter(F.col(id_name).isNotNull()).groupBy((spot(F.col(id_name)) / 32768).cast("int").alias(bucket)).agg(F.bitmap_construct_agg(spot(F.col(id_name)) % 32768).alias(bitset))
+    at = spot(quoted(doc_id))
+    byte = F.conv(F.hex(F.substring(F.col(bitset), (at % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8).cast("int") + 1)) != 0, F.lit(False))
-    flagged = docs.alias("d").join(F.broadcast(maps), (at / 32768).cast("int") == F.col("_bucket"), "left")
-    cols = [F.col(f"d.`{c}`") for c in docs.columns]
+    flagged = docs.join(F.broadcast(maps), (at / 32768).cast("int") == F.col(bucket), "left")
+    cols = [quoted(c) for c in docs.columns]
     return flagged.filter(hit).select(*cols), flagged.filter(~hit).select(*cols)
 
 

@@ -13,7 +13,8 @@ A sequence's ids then take offsets without gaps. Sequences are padded to `length
 of two needs no padding.
 
 Nulls and edges: a null or empty text is the end id alone. Rows that share a doc_id are packed each; their pieces
-repeat. A null doc_id is packed too. An empty table has no pieces. Extra columns take no part.
+repeat. A null doc_id is packed too. An empty table has no pieces. Extra columns take no part. A very long text is
+tokenized whole in one task and gives as many pieces as it needs. Strings of special tokens in a text are these tokens.
 """
 
 from __future__ import annotations

@@ -2,18 +2,22 @@
 
 Natural text repeats its words. A block of texts is cut into chunks, the distinct ones are found in C++ by Arrow's
 dictionary encoding, and only chunks that the worker has not met are tokenized. Ids of texts are then gathered by
-numpy. The memory of a worker is bounded: a full cache is emptied.
+numpy. A worker remembers short chunks only, and CACHE_BYTES of them: a full cache is emptied. Long chunks, such as a
+text without ASCII spaces, are tokenized each time they come.
 """
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a worker remembers before it starts anew.
-CACHE_CHUNKS = 1_000_000
+#: Bytes of the longest chunk that is remembered.
+LONG = 64
+#: Bytes that a worker remembers before it starts anew, and what a chunk takes beside its own bytes.
+CACHE_BYTES, ENTRY = 96 << 20, 120
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -33,21 +37,27 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def whole(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Starts of texts that hold anything: each text is one chunk."""
+    return np.unique(off[:-1][off[:-1] < len(data)]) if len(data) else np.zeros(0, np.int64)
+
+
 class Chunks:
-    """encode: distinct chunks (bytes) -> their ids, a list of lists."""
+    """encode: distinct chunks (bytes) -> their ids, a list of lists. cut: starts of the chunks of a block."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = cuts):
+        self.encode, self.cut = encode, cut
         self._clear()
 
     def _clear(self) -> None:
+        self.size = 0
         self.rank: dict[bytes, int] = {}
         self.parts: list[np.ndarray] = []  # ids of the chunks, in the order of rank
         self.lens: list[np.ndarray] = []
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order as uint32, ids per text)."""
-        start = cuts(data, off)
+        start = self.cut(data, off)
         n = len(off) - 1
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
@@ -55,22 +65,31 @@ class Chunks:
         chunks = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.rank) + len(distinct) > CACHE_CHUNKS:
+        if self.size > CACHE_BYTES:
             self._clear()
-        new = [c for c in distinct if c not in self.rank]
-        if new:
-            got = self.encode(new)
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            self.parts.append(np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum())))
-            self.lens.append(lens)
+        long = [c for c in distinct if len(c) > LONG]
+        new = [c for c in distinct if len(c) <= LONG and c not in self.rank]
+        if new or not self.parts:
+            flat, lens = self._encoded(new)
             base = len(self.rank)
             self.rank.update(zip(new, range(base, base + len(new)), strict=True))
-            self.parts, self.lens = [np.concatenate(self.parts)], [np.concatenate(self.lens)]
-        flat, lens = self.parts[0], self.lens[0]
+            self.parts, self.lens = [np.concatenate([*self.parts, flat])], [np.concatenate([*self.lens, lens])]
+            self.size += sum(map(len, new)) + ENTRY * len(new) + flat.nbytes
+        flat, lens, rank = self.parts[0], self.lens[0], self.rank
+        if long:
+            more, size = self._encoded(long)
+            rank = ChainMap(self.rank, dict(zip(long, range(len(lens), len(lens) + len(long)), strict=True)))
+            flat, lens = np.concatenate([flat, more]), np.concatenate([lens, size])
         first = np.cumsum(lens) - lens
-        row = np.fromiter(map(self.rank.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        row = np.fromiter(map(rank.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         size = lens[row]
         at = np.repeat(first[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         per_chunk = np.concatenate([[0], np.cumsum(size)])
         edge = per_chunk[np.searchsorted(start, off)]
         return flat[at], np.diff(edge)
+
+    def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in order, ids per chunk)."""
+        got = self.encode(chunks) if chunks else []
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum())), lens

@@ -49,7 +49,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        read = reader(tokenizer)
+        read = reader(tokenizer, plain=True)  # no text may hold the end id
         name, store, path, out, size, count = f"{folder}/{uuid.uuid4().hex}.ids", None, None, None, 0, 0
         done: list[pa.RecordBatch] = []
         for b, data, off in blocks(batches, "_text"):

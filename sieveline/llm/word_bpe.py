@@ -18,16 +18,19 @@ PLAIN = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?#$%&*()\[\]|<>]*)")
 GROUP = 256
 WORD_END = "</w>"
 
-_open: dict[str, Chunks] = {}
+_open: dict[tuple[str, bool], Chunks] = {}
 
 
-def reader(path: str) -> Chunks:
-    """The worker's chunks for the tokenizer file at path, which every executor has."""
-    if path not in _open:
+def reader(path: str, plain: bool = False) -> Chunks:
+    """The worker's chunks for the tokenizer file at path, which every executor has.
+
+    The strings of special tokens in a text are these tokens, as the library has it; plain: they are ordinary text.
+    """
+    if (path, plain) not in _open:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        t.encode_special_tokens = plain
         vocab = t.get_vocab(with_added_tokens=True)
         ends = np.zeros(max(vocab.values()) + 1, bool)
         ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
@@ -56,5 +59,5 @@ def reader(path: str) -> Chunks:
                 out[i] = ids
             return out
 
-        _open[path] = Chunks(encode)
-    return _open[path]
+        _open[path, plain] = Chunks(encode)
+    return _open[path, plain]

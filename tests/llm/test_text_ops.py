@@ -154,17 +154,45 @@ def test_toxicity(spark, odd):
 
 # ---------------------------------------------------------------- tokens
 
-def tokens(t):
+def tokens(t, plain=False):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
+    if plain:
+        own.encode_special_tokens = True
     return own.encode(t or "", add_special_tokens=False).ids
 
 
+SPECIAL = ["hello <|endoftext|> world", "a<|startoftext|>b.", "abc<| endoftext|> x"]
+
+
 def test_chunked_ids():
-    ids, n = reader(PATH).ids(*common.buffers(pa.array(ODD)))
-    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tokens(t) for t in ODD]
+    texts = ODD + SPECIAL
+    for plain in (False, True):
+        ids, n = reader(PATH, plain).ids(*common.buffers(pa.array(texts)))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tokens(t, plain) for t in texts]
+    assert tokens(SPECIAL[0]) == [3306, 49407, 1002]
+
+
+def test_chunk_memory(monkeypatch):
+    from sieveline.llm import spans
+
+    calls = []
+    own = spans.Chunks(lambda cs: calls.append(list(cs)) or [[len(c)] for c in cs])
+    long, texts = "你" * 3000, ["a bb a", None, "你" * 3000, "ccc"]
+    for _ in range(2):
+        ids, n = own.ids(*common.buffers(pa.array(texts)))
+        assert n.tolist() == [3, 0, 1, 1] and ids.tolist() == [1, 3, 2, 9000, 3]
+    assert all(len(c) <= spans.LONG for c in own.rank) and sum(long.encode() in c for c in calls) == 2
+    monkeypatch.setattr(spans, "CACHE_BYTES", 10)
+    assert own.ids(*common.buffers(pa.array(["zz"])))[0].tolist() == [2] and list(own.rank) == [b"zz"]
+
+
+def test_patterns_across_gaps():
+    ranks = {bytes([i]): i for i in range(256)} | {b".\n": 256}
+    own = byte_bpe.Codec(ranks, r"[^\s\p{L}\p{N}]+[\r\n]*|\s+|\p{L}+|\p{N}+")
+    ids, n = own.texts(*common.buffers(pa.array(["a.\nb", None, "x"])))
+    assert ids.tolist() == [97, 256, 98, 120] and n.tolist() == [3, 0, 1]
 
 
 def test_byte_bpe(spark, odd):
@@ -201,7 +229,7 @@ def test_separator_scan(spark, tmp_path, odd):
     for block in (2, 6, 64, 1 << 20):
         assert sorted(map(tuple, token_counts.scan(listed, end_id=2, block=block).collect())) == sorted(want)
     got = token_counts.counts(spark, odd, PATH).collect()
-    assert Counter(map(tuple, got)) == Counter((r.doc_id, len(tokens(r.text))) for r in odd.collect())
+    assert Counter(map(tuple, got)) == Counter((r.doc_id, len(tokens(r.text, True))) for r in odd.collect())
 
 
 # ---------------------------------------------------------------- packing
