@@ -3,13 +3,15 @@
 A text's terms are its lower-cased runs of ASCII letters and non-ASCII bytes, hashed to 2 ** 20 cells; each
 counts once. The logit is w0 + sum w_i + sum over pairs <v_i, v_j>, so an insult next to a mention of a group can
 weigh more than both weights added. The machine is fitted by Adagrad on a bounded sample of labelled rows:
-`per_class` rows of each label at most, those with the smallest hash of doc_id; `max_terms` of their cells, those
-with the largest chi-square, `min_chi` at least, that `min_docs` of the texts hold. Everything else reads every whole text.
+`per_class` rows of each label at most, those with the smallest hash of doc_id. Its terms are all cells that `min_docs`
+of these texts hold and whose chi-square against the label is `min_chi` at least; they are counted in Spark, and only
+their places in each text reach the driver. Everything else reads every whole text.
 Where a label has more rows than the sample, w0 is moved by the log of the two sampling fractions' ratio, so scores
 mean the share of toxic rows among all labelled rows, not among the sampled ones.
 
 Nulls and edges: a null or empty text has no terms and scores sigmoid(w0). Labels that are null, or whose document
-is missing, take no part. Repeated rows score alike. Without labels of both kinds every score is 0. The input's
+is missing, take no part. Repeated rows score alike; of rows that share an id, one text is learned from. Without labels
+of both kinds every score is 0. An empty table gives no rows. A very long text is read whole, in one task. The input's
 columns are kept; score and predicted replace columns of these names.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, held_out, word_hashes
+from .common import Scratch, blocks, held_out, quoted, word_hashes
 
 CELLS = 1 << 20
 THRESHOLD = 0.7
@@ -72,28 +74,20 @@ def _logits(m: Machine, doc: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndar
     return m.w0 + np.bincount(doc, m.w[s], n) + pairs, total
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 40, batch: int = 256, rate: float = 0.4, decay: float = 2e-4, min_docs: int = 5, max_terms: int = 256, min_chi: float = 10.8, seed: int = 7) -> Machine:
-    """texts: the distinct cells of each text. y: 0 or 1."""
+def fit(texts: list[np.ndarray], y: np.ndarray, cells: np.ndarray, factors: int = 8, epochs: int = 40, batch: int = 256, rate: float = 0.4, decay: float = 2e-4, seed: int = 7) -> Machine:
+    """texts: for each text the places in cells of its terms, each once. y: 0 or 1. cells: ascending."""
     n = len(texts)
     flat = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64)
     lens = np.array([len(t) for t in texts], np.int64)
     doc = np.repeat(np.arange(n), lens)
-    a = np.bincount(flat[y[doc] == 1], minlength=CELLS).astype(float)
-    t = np.bincount(flat, minlength=CELLS).astype(float)
     p = y.mean()
-    chi = (a - t * p) ** 2 / np.maximum(t * p * (1 - p), 1e-9)
-    chi[(t < min_docs) | (chi < min_chi)] = -1  # one in a thousand, if the label had no part in it
-    best = np.argsort(-chi, kind="stable")[:max_terms]
-    best = np.sort(best[chi[best] >= 0])
     slot = np.full(CELLS, -1, np.int32)
-    slot[best] = np.arange(len(best))
+    slot[cells] = np.arange(len(cells))
     rng = np.random.default_rng(seed)
     batch = max(16, min(batch, n // 16))  # small samples get as many steps
-    d = max(1, len(best))
+    d = max(1, len(cells))
     m = Machine(slot, float(np.log(p / (1 - p))), np.zeros(d), rng.normal(0, 0.02, (d, factors)))
     gw, gv, g0 = np.full(d, 1e-6), np.full((d, factors), 1e-6), 1e-6
-    keep = slot[flat] >= 0
-    flat, doc = slot[flat][keep].astype(np.int64), doc[keep]
     start = np.searchsorted(doc, np.arange(n + 1))
     for _ in range(epochs):
         order = rng.permutation(n)
@@ -115,7 +109,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int =
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 8000, **kw) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 8000, min_docs: int = 5, min_chi: float = 10.8, **kw) -> Machine | None:
     """A machine from labelled rows that are not held out; None without both kinds. labels: (doc_id, toxic)."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = [r for k in (0, 1) for r in known.filter(F.col(label) == k).select(doc_id, label).orderBy(F.xxhash64(doc_id), doc_id).limit(per_class).collect()]
@@ -124,22 +118,37 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if len(set(marks.values())) < 2:
         return None
     kind = docs.schema[doc_id].dataType
-    ids = docs.sparkSession.createDataFrame([(x,) for x in marks], T.StructType([T.StructField("_id", kind)]))
-    rows = docs.join(F.broadcast(ids), docs[doc_id] == ids["_id"]).select("_id", F.col(text).alias("_text"))  # 2 * per_class ids at most
+    ids = docs.sparkSession.createDataFrame(list(marks.items()), T.StructType([T.StructField("i", kind), T.StructField("y", T.IntegerType())]))
+    rows = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("t")).join(F.broadcast(ids), F.col("id") == F.col("i")).select("id", "y", "t")  # 2 * per_class ids at most
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, off in blocks(batches, "_text"):
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, off in blocks(batches, "t"):
             c, n = term_cells(data, off)
-            parts = [np.unique(x).astype(np.int32).tobytes() for x in np.split(c, np.cumsum(n)[:-1])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.binary())], ["_id", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.unique(x).astype(np.int32) for x in np.split(c, np.cumsum(n)[:-1])], pa.list_(pa.int32()))], ["id", "y", "cells"])
 
-    got = rows.mapInArrow(cells, T.StructType([T.StructField("_id", kind), T.StructField("cells", T.BinaryType())])).collect()
-    got = sorted(got, key=lambda r: (str(r[0]), bytes(r[1])))  # the same fit however the rows arrive
-    y = np.array([marks[r[0]] for r in got])
-    if len(set(y.tolist())) < 2:
+    held = rows.mapInArrow(distinct, T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    held = Scratch(docs.sparkSession, "toxicity").save(held.groupBy("id").agg(F.min(F.struct("cells", "y")).alias("m")).select("id", "m.y", "m.cells"), "terms")
+    count = {r[0]: r[1] for r in held.groupBy("y").count().collect()}
+    if len(count) < 2:
         return None
-    machine = fit([np.frombuffer(r[1], np.int32) for r in got], y, **kw)
-    drawn = {k: min(n, per_class) for k, n in total.items()}
+    p = count[1] / sum(count.values())
+    terms = held.select(F.explode("cells").alias("cell"), "y").groupBy("cell").agg(F.count("*").alias("t"), F.sum("y").alias("a"))
+    chi = (F.col("a") - F.col("t") * p) ** 2 / (F.col("t") * (p * (1 - p)))
+    cells = np.array(sorted(r[0] for r in terms.filter((F.col("t") >= min_docs) & (chi >= min_chi)).select("cell").collect()), np.int64)  # CELLS at most
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for x in b.column(2):
+                c = x.values.to_numpy().astype(np.int64)
+                at = np.minimum(np.searchsorted(cells, c), max(0, len(cells) - 1))
+                found.append(at[cells[at] == c].astype(np.int32).tobytes() if len(cells) else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "y", "at"])
+
+    got = held.mapInArrow(places, T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), T.StructField("at", T.BinaryType())])).collect()
+    got = sorted(got, key=lambda r: (str(r[0]), bytes(r[2])))  # the same fit however the rows arrive
+    machine = fit([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got]), cells, **kw)
+    drawn = {k: min(m, per_class) for k, m in total.items()}
     machine.w0 += float(np.log(total[1] / drawn[1]) - np.log(total[0] / drawn[0]))
     return machine
 
@@ -147,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (double, 0 to 1) and predicted (int)."""
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    docs = docs.select(*[quoted(c) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, off in blocks(batches, text):

@@ -152,6 +152,27 @@ def test_toxicity(spark, odd):
     assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
+def test_factorization_machine():
+    """Scores are the sum over single terms and over all pairs; the gradients are those of that sum."""
+    rng = np.random.default_rng(6)
+    slot = np.full(toxicity.CELLS, -1, np.int32)
+    slot[np.arange(5) * 7] = np.arange(5)
+    m = toxicity.Machine(slot, 0.3, rng.normal(size=5), rng.normal(size=(5, 3)))
+    texts = [[0, 7, 14, 7], [], [28], [3, 21, 0, 0, 28, 99]]
+    got = m.scores(np.array([c for t in texts for c in t], np.int64), np.array([len(t) for t in texts]))
+    for t, s in zip(texts, got, strict=True):
+        terms = sorted({int(slot[c]) for c in t if slot[c] >= 0})
+        x = m.w0 + sum(m.w[i] for i in terms) + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(terms) for j in terms[k + 1 :])
+        assert s == pytest.approx(1 / (1 + np.exp(-x)))
+    s, h = np.array([0, 2, 3]), 1e-6
+    base, total = toxicity._logits(m, np.zeros(3, int), s, 1)
+    for k in range(3):
+        for f in range(3):
+            m.v[s[k], f] += h
+            assert (toxicity._logits(m, np.zeros(3, int), s, 1)[0][0] - base[0]) / h == pytest.approx(total[0, f] - (m.v[s[k], f] - h), abs=1e-4)
+            m.v[s[k], f] -= h
+
+
 # ---------------------------------------------------------------- tokens
 
 def tokens(t, plain=False):
@@ -227,7 +248,9 @@ def test_separator_scan(spark, tmp_path, odd):
             want.append((files[-1][0], len(ends) - 1, len(ids) - 1 - ends[-1], False))
     listed = spark.createDataFrame(files, "file string, bytes bigint")
     for block in (2, 6, 64, 1 << 20):
-        assert sorted(map(tuple, token_counts.scan(listed, end_id=2, block=block).collect())) == sorted(want)
+        for group in (2, 1024):
+            assert sorted(map(tuple, token_counts.scan(listed, end_id=2, block=block, group=group).collect())) == sorted(want)
+    assert token_counts.counts(spark, empty(spark), PATH).count() == 0
     got = token_counts.counts(spark, odd, PATH).collect()
     assert Counter(map(tuple, got)) == Counter((r.doc_id, len(tokens(r.text, True))) for r in odd.collect())
 
