@@ -117,10 +117,17 @@ wins as (
          t || chr(10) || lead(t, 1) over w || chr(10) || lead(t, 2) over w as g
   from filled window w as (partition by doc_id, tie order by n)),
 ranked as (
-  select *, row_number() over (partition by g order by doc_id, n) as k from wins where e is not null),
+  select *, row_number() over (partition by g order by doc_id, n) as k, count(*) over (partition by g) as m from wins where e is not null),
+cover as (
+  select f.doc_id, f.tie, f.n, f.i, bool_or(r.k = 1) as first from filled f join ranked r
+  on r.doc_id = f.doc_id and r.tie = f.tie and r.m > 1 and f.n between r.n and r.n + 2 group by all),
+goes as (
+  select f.doc_id, f.tie, f.n, f.i, coalesce(not c.first, false) as out,
+         lead(f.i) over w as next, lead(coalesce(not c.first, false)) over w as next_out
+  from filled f left join cover c on c.doc_id = f.doc_id and c.tie = f.tie and c.n = f.n window w as (partition by f.doc_id, f.tie order by f.n)),
 gone as (
-  select distinct l.doc_id, l.tie, l.i from lines l join ranked r
-  on r.doc_id = l.doc_id and r.tie = l.tie and r.k > 1 and l.i between r.b and r.e),
+  select distinct l.doc_id, l.tie, l.i from lines l join goes g
+  on g.doc_id = l.doc_id and g.tie = l.tie and g.out and (l.i = g.i or g.next_out and l.i > g.i and l.i < g.next)),
 rest as (
   select l.doc_id, l.tie, count(g.i) as n_removed,
          coalesce(string_agg(l.line, chr(10) order by l.i) filter (where g.i is null), '') as kept

@@ -93,9 +93,9 @@ def test_certified_cutoffs(spark):
 # ---------------------------------------------------------------- line dedup
 
 def plain_dedup(rows):
-    """rows: (doc_id, text) -> {(doc_id, text): text without the lines of later windows}."""
+    """rows: (doc_id, text) -> {(doc_id, text): text without the lines of later windows, but with those of first ones}."""
     spaces = " \t\n\x0b\x0c\r"
-    first, places = {}, {}
+    first, places, seen = {}, {}, {}
     for i, t in rows:
         if i is None or t is None:
             continue
@@ -104,25 +104,34 @@ def plain_dedup(rows):
         for at in range(len(full) - 2):
             key = tuple(t.split("\n")[k].strip(spaces) for k in full[at : at + 3])
             first[key] = min(first.get(key, (i, at)), (i, at))
+            seen.setdefault(key, set()).add((i, at, t))
     out = {}
     for (i, t), full in places.items():
-        lines, gone = t.split("\n"), set()
+        lines, late, kept = t.split("\n"), set(), set()
         for at in range(len(full) - 2):
-            if first[tuple(lines[k].strip(spaces) for k in full[at : at + 3])] != (i, at):
-                gone |= set(range(full[at], full[at + 2] + 1))
+            key = tuple(lines[k].strip(spaces) for k in full[at : at + 3])
+            if first[key] != (i, at):
+                late |= {at, at + 1, at + 2}
+            elif len(seen[key]) > 1:
+                kept |= {at, at + 1, at + 2}
+        late -= kept
+        gone = {full[k] for k in late} | {x for k in late if k + 1 in late for x in range(full[k], full[k + 1])}
         out[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
 
 def test_line_dedup(spark, odd):
     passage = "one line here\ntwo lines here\nthree lines here"
-    texts = [f"top\n{passage}\nend", f"{passage}\n\nfour", f"start\n {passage} \nx\ny\nz", "a\nb\nc\nd\na\nb\nc\nd", "x\ny\nz\nw", passage, passage, "q\nq\nq\nq\nq", None, ""]
+    texts = [f"top\n{passage}\nend", f"{passage}\n\nfour", f"start\n {passage} \nx\ny\nz", "a\nb\nc\nd\na\nb\nc\nd", "x\ny\nz\nw", passage, passage, "q\nq\nq\nq\nq", "a1\nb1\na1\nb1\n\na1\n \nb1", "k\n\nl\nm\nn\n\nk\n\nl\nm\n\nn\n", None, ""]
     docs = odd.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(100 + i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, score int"))
+    for name in ("_at", "_l", "_f", "_s", "_g", "_id", "_tie", "_Lines", "_full", "_gone", "_spans", "_gaps", "_keep", "_bits", "_bucket", "a.b", "n"):
+        docs = docs.withColumn(name, F.lit(name))
     rows = docs.collect()
     want = plain_dedup([(r.doc_id, r.text) for r in rows])
     got = line_dedup.dedup(docs, removed="n").collect()
     assert len(got) == len(rows)
     assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, want.get((r.doc_id, r.text), r.text)) for r in rows)
+    assert all(r[c] == c for r in got for c in docs.columns[3:-1]) and {r.text for r in got} >= {"q\nq\nq", "a1\nb1\na1\nb1\n"}
     assert line_dedup.dedup(empty(spark)).count() == 0
 
 
