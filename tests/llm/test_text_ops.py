@@ -69,25 +69,61 @@ def test_counts(spark, odd):
     assert quality.counts(empty(spark)).count() == 0
 
 
+def test_counts_keep_other_columns(spark):
+    docs = spark.createDataFrame([("a b c a b c", "en")], "text string, lang string")
+    names = ["_words", "_lines", "_packed", "_close", "_same", "_at", "a.b", "a`b", "n_words"]
+    for name in names:
+        docs = docs.withColumn(name, F.lit(name))
+    r = quality.counts(docs).first()
+    assert all(r[n] == n for n in names[:-1]) and r.n_words == 6 and r.n_repeat_words == 6
+
+
 def test_binomial_tail():
     from math import comb
 
-    for k, n, p in ((0, 10, 0.1), (3, 10, 0.1), (10, 10, 0.5), (2, 500, 0.01)):
-        assert abs(quality.binomial_tail(k, n, p) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-9
+    for k, n, p in ((0, 10, 0.1), (3, 10, 0.1), (10, 10, 0.5), (2, 500, 0.01), (40, 1000, 0.04), (499, 500, 0.9), (0, 107, 0.04), (300, 500, 0.5)):
+        assert quality.binomial_tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9)
+    assert 0.4 < quality.binomial_tail(40_000_000, 1_000_000_000, 0.04) < 0.6  # no list of terms
 
 
 def test_certified_cutoffs(spark):
-    good = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en") for i in range(1500)]
-    junk = [(5000 + i, " ".join(f"w{i}x{k}###" for k in range(60)), "en") for i in range(200)]
-    few = [(9000 + i, " ".join(f"w{i}x{k}###" for k in range(60)), "fr") for i in range(20)]
-    docs = spark.createDataFrame(good + junk + few, "doc_id bigint, text string, lang string")
-    labels = docs.select("doc_id", F.when(F.col("doc_id") < 5000, 1).otherwise(0).alias("quality")).unionByName(spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, quality int"))
-    cuts = quality.cutoffs(quality.counts(docs), labels)
-    assert "symbols" in cuts["en"] and "fr" not in cuts  # too few labels certify nothing
+    text = lambda i, end: " ".join(f"w{i}x{k}{end}" for k in range(60))
+    good = [(i, text(i, ""), "en") for i in range(300)]
+    junk = [(5000 + i, text(i, "###"), "en") for i in range(50)]
+    few = [(6000 + 100 * j + i, text(i, "" if i < 40 else "$$"), lang) for j, lang in enumerate(("fr", "de", None)) for i in range(60)]
+    none = [(9000, text(1, "###"), "xx")]
+    docs = spark.createDataFrame(good + junk + few + none, "doc_id bigint, text string, lang string")
+    ok = (F.col("doc_id") < 5000) | (F.col("doc_id") >= 6000) & (F.col("doc_id") % 100 < 40)
+    labels = docs.filter("doc_id < 9000").select("doc_id", F.when(ok, 1).otherwise(0).alias("quality")).unionByName(spark.createDataFrame([(1, None), (None, 1), (77777, 1)], "doc_id bigint, quality int"))
+    counted = quality.counts(docs)
+    cuts = quality.cutoffs(counted, labels)
+    assert set(cuts) == {"en", "fr", "de", None}  # three short strata are pooled; one without labels has no cutoff
+    assert not cuts["en"].pooled and (cuts["en"].good, cuts["en"].good_rejected, cuts["en"].bad_rejected) == (300, 0, 50)
+    assert cuts["fr"] == cuts["de"] == cuts[None] and cuts["fr"].pooled and (cuts["fr"].good, cuts["fr"].bad_rejected) == (120, 60)
     kept = {r.doc_id for r in quality.judge(docs, labels).filter("kept").collect()}
-    assert kept == {g[0] for g in good} | {f[0] for f in few}
-    none = quality.judge(docs, labels.limit(0))
-    assert none.filter("kept").count() == len(good) + len(junk) + len(few)
+    assert kept == {r.doc_id for r in docs.filter(ok | (F.col("doc_id") == 9000)).collect()}
+    assert not quality.cutoffs(counted, labels.filter("doc_id < 20")) and not quality.cutoffs(counted, labels.limit(0))
+    assert quality.judge(docs, labels.limit(0)).filter("kept").count() == docs.count()
+    assert quality.judge(docs.limit(0), labels).count() == 0
+    odd = quality.judge(docs.withColumn("kept", F.lit("x")).withColumn("base_failed", F.lit("y")), labels)
+    assert odd.filter("kept").count() == len(kept)
+
+
+def test_guarantee():
+    """Over many holdouts of good documents whose true tail is known, a cutoff that rejects over alpha is rarely certified."""
+    rng = np.random.default_rng(8)
+    alpha, level, wrong, some = 0.04, 0.05, 0, 0
+    share = 0.3 * 0.85 ** np.arange(quality.CELLS + 2)
+    share /= share.sum()
+    bad = [0] * quality.CELLS + [50, 50]
+    for n in (150, 400, 3000):
+        for _ in range(700):
+            good = rng.multinomial(n, share).tolist()
+            # a tiny price makes the choice greedy for low cutoffs, the worst case
+            found = quality.certify(good, [b + 1 for b in bad], level, alpha, 1e-9)
+            some += found is not None
+            wrong += found is not None and share[found[0] + 1 :].sum() > alpha
+    assert some > 2000 and wrong <= 2100 * level
 
 
 # ---------------------------------------------------------------- line dedup
