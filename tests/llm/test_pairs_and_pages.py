@@ -195,10 +195,25 @@ def test_propagation(spark):
     state = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(url_filter.host_edges(pages), frame, common.Scratch(spark, "t")).collect()}
     for h in {*trust, *distrust}:
         assert state[h] == pytest.approx((trust.get(h, 0), distrust.get(h, 0)), abs=1e-3)
-    verdict = {r.page_id: r.verdict for r in url_filter.judge(pages, RULES, threshold=0.4).collect()}
+    verdict = {r.page_id: r.verdict for r in url_filter.judge(pages.unionByName(pages.filter("page_id = 7")), RULES, threshold=0.4, kinship=0).collect()}
     assert verdict == {1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "allow" if trust["pal.io"] and distrust["mixed.io"] < 0.4 else "block", 7: "allow"}
 
 
+def test_kinship(spark):
+    """Hosts of a domain share trust and distrust, where their own pages alone would say something else."""
+    hosts = spark.createDataFrame([("www.a.example.com",), ("a.example.com",), ("10.0.0.1",), ("x.org",), ("b.example.com:80",)], "host string")
+    assert {(r.src, r.dst) for r in url_filter.kin_edges(hosts).collect() if len(r.src) > len(r.dst)} == {("www.a.example.com", "a.example.com"), ("a.example.com", "example.com"), ("b.example.com:80", "example.com:80")}
+    rows = [(i, f"http://{h}/{p}", "") for i, (h, p) in enumerate([("m.farm.bad.com", "en/1"), ("w.farm.bad.com", "en/1"), ("farm.bad.com", "en/2"), ("new.farm.bad.com", "x"), ("fine.net", "de/1"), ("www.fine.net", "x"), ("lone.io", "x")])]
+    rules = [("block", "com", "/en/"), ("allow", "net", "/de/")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for name in ("_m", "_h", "_v", "_host", "_match", "_verdict", "a.b"):
+        pages = pages.withColumn(name, F.lit(name))
+    verdict = lambda k: {r.page_id: r.verdict for r in url_filter.judge(pages, rules, kinship=k).collect()}
+    assert {k for k, v in verdict(0).items() if v == "block"} == {0, 1, 2}
+    assert {k for k, v in verdict(1.0).items() if v == "block"} == {0, 1, 2, 3}
+    assert all(r[c] == c for r in url_filter.judge(pages, rules).collect() for c in ("_m", "_h", "_v", "_host", "_match", "_verdict", "a.b"))
+
+
 # ---------------------------------------------------------------- pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header class="site-header"><a href=/>Home</a></header><nav><ul><li><a href=/a>One</a></ul></nav>
