@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import blocks, quoted, unused
+from .common import blocks, with_columns
 from .spans import Chunks, cuts, whole
 
 NONE = np.int64(1 << 40)
@@ -191,15 +191,13 @@ def codec(path: str, pattern: str) -> Codec:
 
 def _mapped(docs: DataFrame, path: str, pattern: str, column: str, fields: list[T.StructField], make) -> DataFrame:
     names = [c for c in docs.columns if c not in {f.name for f in fields}]
-    (own_name,) = unused(docs.columns, "_column")
-    held = docs.select(*[quoted(c) for c in names], quoted(column).alias(own_name))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         own = codec(path, pattern)
-        for b, data, off in blocks(batches, own_name):
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *make(own, data, off)], [*names, *(f.name for f in fields)])
+        for b, data, off in blocks(batches, "last"):
+            yield [*b.columns[:-1], *make(own, data, off)]
 
-    return held.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *fields]))
+    return with_columns(docs, names, column, run, fields)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Python slices of an Arrow batch hold about this many bytes of text, whatever the batch holds.
 BLOCK_BYTES = 4 << 20
@@ -74,6 +75,24 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def with_columns(docs: DataFrame, held: list[str], column: str, run: Callable, fields: list[T.StructField]) -> DataFrame:
+    """docs.mapInArrow(run) of the columns `held` and fields, whatever their names are.
+
+    run() gets batches of `held` and, as the last one, `column`, and yields their columns but the last, then the fields'.
+    """
+    plain = [f"c{i}" for i in range(len(held))]
+    own = docs.select(*[quoted(c).alias(p) for c, p in zip(held, plain, strict=True)], quoted(column).alias("last"))
+    kinds = [T.StructField(p, docs.schema[c].dataType) for c, p in zip(held, plain, strict=True)]
+    more = [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)]
+    names = [*plain, *(f.name for f in more)]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches):
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return own.mapInArrow(renamed, T.StructType([*kinds, *more])).toDF(*held, *(f.name for f in fields))
+
+
 def fence(x: Column) -> Column:
     """x, in a projection that filters are not pushed through: they would inline, and so repeat, all steps below it."""
     return F.when(F.spark_partition_id() >= 0, x)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, blocks, held_out, quoted, word_hashes
+from .common import Scratch, blocks, held_out, quoted, with_columns, word_hashes
 
 CELLS = 1 << 20
 THRESHOLD = 0.7
@@ -156,12 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (double, 0 to 1) and predicted (int)."""
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*[quoted(c) for c in names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, off in blocks(batches, text):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        for b, data, off in blocks(batches, "last"):
             s = machine.scores(*term_cells(data, off)) if machine else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield [*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))]
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    return with_columns(docs, names, text, run, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

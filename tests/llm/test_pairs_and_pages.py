@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -224,14 +225,70 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 TEXT = "Title & more\nFirst paragraph of the story, long enough.\nShort.\nA quote, too.\npoint one.\npoint two.\nLast <b> one."
 
 
+PLAIN = html_text.Model(html_text.fit([]))
+
+
 def test_page():
-    assert html_text.main_text(PAGE, html_text.PLAIN) == TEXT
+    assert html_text.main_text(PAGE, PLAIN) == TEXT
     for bad in (None, "", "   ", "<p>", "<script>x", "<!-- x", "<"):
-        assert html_text.main_text(bad, html_text.PLAIN) in ("", "<")
+        assert html_text.main_text(bad, PLAIN) in ("", "<")
     long = "<article>" + "<p>Some words of a paragraph.</p>" * 3000 + "</article>"
-    assert html_text.main_text(long, html_text.PLAIN).count("\n") == 2999
-    assert html_text.main_text("<article><p>cut off &am", html_text.PLAIN) == "cut off &am"
-    assert html_text.main_text("<article><p>cut off</p", html_text.PLAIN) == "cut off"
+    assert html_text.main_text(long, PLAIN).count("\n") == 2999
+    assert html_text.main_text("<article><p>cut off &am", PLAIN) == "cut off &am"
+    assert html_text.main_text("<article><p>cut off</p", PLAIN) == "cut off"
+
+
+def test_markup():
+    text = lambda x: html_text.main_text(x, PLAIN)
+    assert text("<article><p title=it's>Hello there, I don't know.</p><p>And so it goes on, as ever.</p></article>") == "Hello there, I don't know.\nAnd so it goes on, as ever."
+    assert text('<p title="x>Hello there to all of you.') == "Hello there to all of you."
+    assert text('<p title="a>b" data-x=\'<p>\'>Hello there to all of you.') == "Hello there to all of you."
+    assert text('<article class="alert-news"><p>Real story of the day.</p></article>') == "Real story of the day."
+    assert text('<article><div class="related-work">Others did this before.</div><div class="share-price">It rose to 5.</div></article>') == "Others did this before.\nIt rose to 5."
+    assert text("<article>so <math>x=1</math> and <svg/>on <button>z<p>kept<script/>too</article><nav>w</nav>") == "so x=1 and on\nkepttoo"
+    assert text("<article><pre>a  b\n c</pre><p>one<br>two &lt;p&gt;</article>") == "a b c\none two <p>"
+    import time
+
+    began = time.perf_counter()
+    assert html_text.parse("<div>x" * 20_000)[-1].text == "x" and len(html_text.parse("<b>" * 20_000 + "<p>y" * 5000 + "</i>" * 20_000)) == 5000
+    html_text.main_text("<article>" + "<p>Some words of a paragraph.</p><p>no</p>" * 5000, PLAIN)
+    assert time.perf_counter() - began < 20  # in time linear in the page
+
+
+SEMANTIC = "article|main|nav|aside|footer|form|header"
+
+
+def plain_pages(n, rng):
+    """(page, text of its article)."""
+    words = [a + b for a in ("ta", "ro", "mi", "sel", "vun") for b in ("", "ne", "lo", "kir", "dath")]
+    some = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    out = []
+    for _ in range(n):
+        paragraphs = [f"{some(rng.randint(2, 60))}." for _ in range(rng.randint(2, 9))]
+        links = "".join(f"<li><a href=/{some(1)}>{some(1)}</a></li>" for _ in range(6))
+        out.append((
+            f"<html><body><header><a href=/>{some(2)}</a></header><nav><ul>{links}</ul></nav><div class=ad>{some(5)}</div><article><h1>{some(6)}</h1>"
+            + "".join(f"<p>{p}</p>" for p in paragraphs[:1]) + f"<h2>{some(2)}</h2>" + "".join(f"<p>{p}</p>" for p in paragraphs[1:]) + f"</article><footer>&copy; {some(3)}</footer></body></html>",
+            paragraphs,
+        ))
+    return out
+
+
+def test_learned_from_tags_and_used_without():
+    """A model that learned from telling tags finds articles where these and all names are gone."""
+    rng = random.Random(4)
+    pages = plain_pages(120, rng)
+    model = html_text.learn([p for p, _ in pages[:80]])
+    right = same = changed = 0
+    for page, paragraphs in pages[80:]:
+        want = [b.text for b in html_text.parse(page) if b.label == 1]
+        assert [x for x in want if x in paragraphs] == paragraphs
+        right += html_text.main_text(page, model) == "\n".join(want)
+        stripped = re.sub(r"(?i)\s(?:class|id|role)=\S+?(?=[\s>])", "", re.sub(rf"<(/?)(?:{SEMANTIC})\b", r"<\1div", page))
+        same += html_text.main_text(stripped, model) == "\n".join(want)
+        blocks = html_text.parse(stripped)
+        changed += sum(x != (u > 0) for x, u in zip(html_text.labels(blocks, model, 2), model.logits(blocks, 2), strict=True))
+    assert right == 40 and same >= 36 and changed > 0  # with shape alone the cut decides some
 
 
 def test_min_cut():
@@ -247,12 +304,16 @@ def test_min_cut():
 
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "q"), (1, "u", PAGE, "q"), (2, None, None, "q"), (3, "v", "", "q")], "page_id bigint, url string, html string, text string")
-    got = html_text.extract(pages, weights=html_text.PLAIN)
+    got = html_text.extract(pages.withColumn("_html", F.lit(1)).drop("_html"), model=PLAIN)
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert Counter((r.page_id, r.text, r.n_chars) for r in got.collect()) == {(1, TEXT, len(TEXT)): 2, (2, "", 0): 1, (3, "", 0): 1}
     assert html_text.extract(pages.limit(0)).count() == 0
+    clash = html_text.extract(pages.withColumn("_html", F.lit(1)).withColumn("a.b", F.lit(2)), model=PLAIN).first()
+    assert clash["_html"] == 1 and clash["a.b"] == 2
     decided = pages.filter("page_id = 1").withColumn("html", F.replace("html", F.lit('<div id="content">'), F.lit("<article>")))
-    assert (html_text.train(decided) != html_text.PLAIN).any() and (html_text.train(pages.limit(0)) == html_text.PLAIN).all()
+    assert (html_text.train(decided).w != PLAIN.w).any() and (html_text.train(pages.limit(0)).w == PLAIN.w).all()
+    got = html_text.extract(decided)
+    assert got.first().text == TEXT
 
 
 # ---------------------------------------------------------------- pipeline
@@ -286,8 +347,33 @@ def test_pipeline(spark, tmp_path):
     short = {i for i, t, *_ in rows if len((t or "").split()) < 50}
     copies = {i for i in range(400) if i % 50 == 7 and i % 10 != 3}
     assert kept == set(range(402)) - toxic - short - copies
+    # what is packed are the texts after line dedup, id by id
+    from test_text_ops import plain_dedup, tokens
+
+    left = plain_dedup([(i, t) for i, t, *_ in rows if i not in toxic | short])
+    texts = {i: t for (i, _), t in left.items() if i in kept}
+    assert any("\n" in t and passage not in t and rows[i][1] != t for i, t in texts.items())
+    for r in out:
+        ids = np.array([*tokens(texts[r.doc_id]), 2], "<u4")
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes()))
     by = {}
     for r in out:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert all(sum(n for _, n in v) <= 4096 for v in by.values())
     assert all(len(s) == 2 and callable(s[1]) for s in corpus_pipeline.STAGES)
+
+
+def test_pipeline_empty_and_repeated(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, a), (None, a), (None, b), (3, None), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], kind).withColumn("row", F.lit(1)).withColumn("_gone", F.lit(2))
+    got = corpus_pipeline.near_copies_go(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (1, b), (None, a), (None, b), (3, None), (3, None), (4, "")])
+    assert {r.doc_id for r in corpus_pipeline.poor_go(spark, docs, str(tmp_path)).collect()} == {1, 2, None}

@@ -26,7 +26,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 def odd(spark):
     """Odd texts, with a repeated row, a null id and columns whose names clash with what operators add."""
     rows = [(i, t, "en" if i % 2 else None, i) for i, t in enumerate(ODD)] + [(3, "x", "en", 3), (None, "null id", "en", 0)]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score int").withColumn("_id", F.lit(1)).withColumn("length", F.lit("q"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score int")
+    return docs.withColumn("_id", F.lit(1)).withColumn("length", F.lit("q")).withColumn("last", F.lit("l")).withColumn("a.b", F.lit("d"))
 
 
 def empty(spark):
@@ -191,7 +192,7 @@ def test_toxicity(spark, odd):
     assert len(out) > 300 and sum((r.predicted == 1) == (r.toxic == 1) for r in out) / len(out) > 0.97
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
     scored = toxicity.score(odd, machine)
-    assert scored.columns == ["doc_id", "text", "lang", "_id", "length", "score", "predicted"]
+    assert scored.columns == ["doc_id", "text", "lang", "_id", "length", "last", "a.b", "score", "predicted"]
     assert all(0 <= r.score <= 1 for r in scored.collect()) and scored.count() == len(ODD) + 2
     assert toxicity.train(docs, labels.filter("toxic = 0")) is None
     assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
