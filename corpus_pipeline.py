@@ -6,11 +6,11 @@ Parquet to the shared folder and reads again as the next one's docs. All but the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm import jaccard, line_dedup, packing, quality, toxicity
-from sieveline.llm.common import Scratch, split_by_ids, table
+from sieveline.llm.common import Scratch, quoted, split_by_ids, table, unused
 
 
 def toxic_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,25 +22,41 @@ def toxic_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def poor_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that fail the base rule or a certified cutoff of their language."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    counted = Scratch(spark, "quality").save(quality.counts(docs.select("doc_id", "text", "lang")).drop("text"), "counts")
+    held = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), "doc_id", "text", "lang")
+    counted = Scratch(spark, "quality").save(quality.counts(held).drop("text"), "counts")  # once, beside the rows they judge
     cuts = quality.cutoffs(counted, labels)
-    return quality.counts(docs).filter(~quality.base_failed() & quality.verdict(cuts)).select(*docs.columns)
+    return counted.filter(~quality.base_failed() & quality.verdict(cuts)).select("row.*")
 
 
 def repeated_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later three-line windows go; documents that lose every line that holds a word go with them."""
-    out = line_dedup.dedup(docs, removed="_removed")
-    return out.filter((F.col("_removed") == 0) | line_dedup.has_word(F.col("text"))).withColumn(
-        "n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    (lost,) = unused(docs.columns, "_removed")
+    out = line_dedup.dedup(docs, removed=lost)
+    return out.filter((F.col(lost) == 0) | line_dedup.has_word(F.col("text"))).withColumn(
+        "n_chars", F.when(F.col(lost) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    ).select(*[quoted(c) for c in docs.columns])
 
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    found = Scratch(spark, "near-copies").save(jaccard.join(docs.select("doc_id", "text")).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    """Of each group of linked documents the one with the smallest doc_id stays.
+
+    Rows with the same doc_id and text are one document, of which one row stays; so are rows without a doc_id that have
+    the same text. Other texts of a doc_id that stays, and other texts without a doc_id, stay.
+    """
+    scratch = Scratch(spark, "near-copies")
+    gone, place, turn = unused(docs.columns, "_gone", "_place", "_turn")
+    found = scratch.save(jaccard.join(docs.select("doc_id", "text")).filter("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct(), "gone")
     touched, rest = split_by_ids(docs, "doc_id", found)
-    kept = touched.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept.unionByName(rest).select(*docs.columns)
+    kept = touched.join(found, F.col("doc_id") == F.col(gone), "left_anti").unionByName(rest)
+    # only rows that repeat an id and a text are moved to be told apart
+    where = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+    repeated = scratch.save(docs.filter("text is not null").groupBy(where.alias(place)).count().filter("count > 1").select(place), "repeated")
+    if not repeated.isEmpty():
+        twice, once = split_by_ids(kept.withColumn(place, where), place, repeated)
+        order = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
+        first = twice.withColumn(turn, F.row_number().over(order)).filter((F.col(turn) == 1) | F.col("text").isNull()).drop(turn)
+        kept = first.unionByName(once).drop(place)
+    return kept.select(*[quoted(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
