@@ -12,7 +12,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import index as ix, results
+from .operators import index as ix, postings as px, results
 from .plans.query import Query, SearchOptions
 from .sources import corpus as source
 
@@ -43,7 +43,7 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> None:
             print(f"{r['skip_reason']}: {r['files']} files, {r['bytes']} bytes", file=out)
         return
     query = Query(args.pattern, args.regex, SearchOptions(not args.ignore_case, 0, args.context, args.file))
-    corpus = ix.Index(spark, args.index).corpus
+    corpus = px.narrowed(ix.Index(spark, args.index), query)
     if args.context:
         rows = results.context_lines(corpus, query).orderBy("file_idx", "line", "part")
     else:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Elements per chunk of a running sum.
-CHUNK = 512
+#: Elements per chunk of a running sum, at its lower and its upper level.
+CHUNK, UPPER = 32, 512
 
 
 def bound(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -24,17 +24,20 @@ def fence(x: Column) -> Column:
 def running_starts(sizes: Column) -> Column:
     """array<bigint>: for each element the sum of those before it.
 
-    Beyond CHUNK elements, sums run inside chunks on top of the chunks' own sums, so a text with h hits costs
-    h * CHUNK copies at most, not h * h.
+    Beyond CHUNK elements, sums run inside chunks on top of the chunks' own sums, and these in chunks of UPPER, so a
+    text with h hits costs h * CHUNK copies and a few more, not h * h.
     """
     zero = F.lit(0).cast("long")
     total = lambda c: F.aggregate(c, zero, lambda a, x: a + x)
 
-    def chunked(s: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / CHUNK).cast("int") - 1), lambda k: F.slice(s, k * CHUNK + 1, F.lit(CHUNK)))
-        return bound(parts, lambda c: F.flatten(F.zip_with(c, _starts(F.transform(c, total), zero), _starts)))
+    def chunked(s: Column, size: int, upper) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / size).cast("int") - 1), lambda k: F.slice(s, k * size + 1, F.lit(size)))
+        return bound(parts, lambda c: F.flatten(F.zip_with(c, upper(F.transform(c, total)), _starts)))
 
-    return bound(sizes, lambda s: F.when(F.size(s) <= CHUNK, _starts(s, zero)).otherwise(chunked(s)))
+    def upper(s: Column) -> Column:
+        return bound(s, lambda v: F.when(F.size(v) <= UPPER, _starts(v, zero)).otherwise(chunked(v, UPPER, lambda w: _starts(w, zero))))
+
+    return bound(sizes, lambda s: F.when(F.size(s) <= CHUNK, _starts(s, zero)).otherwise(chunked(s, CHUNK, upper)))
 
 
 def _starts(sizes: Column, base: Column) -> Column:
@@ -47,9 +50,9 @@ def newlines(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
 
 
-def newline_offsets(text: Column) -> Column:
-    """Byte offsets of every \\n, array<bigint>."""
-    sizes = F.transform(F.split(text, "\n", -1), lambda p: F.octet_length(p).cast("long") + 1)
+def newline_offsets(text: Column, measure: Callable[[Column], Column] = F.octet_length) -> Column:
+    """Offsets of every line feed, array<bigint>; in bytes, or as measure counts."""
+    sizes = F.transform(F.split(text, "\n", -1), lambda p: measure(p).cast("long") + 1)
     return bound(running_starts(sizes), lambda o: F.transform(F.slice(o, F.lit(2), F.greatest(F.size(o) - 1, F.lit(0))), lambda x: x - 1))
 
 
@@ -82,6 +85,11 @@ def lossy_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def one_per_byte(content: Column) -> Column:
+    """Bytes as a text of as many characters, U+0000 to U+00FF."""
+    return F.decode(content, "ISO-8859-1")
+
+
 def varint_size(value: Column) -> Column:
     """Bytes of a non-negative number as a LEB128 varint, bigint."""
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7)).cast("long")

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ngrams, text as tx
 from ..sources import corpus as source
 
 VERSION = 1
+#: File numbers in a block of running sums.
+BLOCK = 4096
 TABLES = ("postings", "tri_stats", "files", "contents", "metadata")
 Extension = Callable[[DataFrame], DataFrame]
 
@@ -27,14 +30,37 @@ class InvalidIndex(ValueError):
 
 # ---------------------------------------------------------------- tables from a corpus
 
+def readable(corpus: DataFrame) -> Column:
+    """The text; of files that are not UTF-8, the bytes with what is invalid replaced."""
+    return F.coalesce(F.col("text"), tx.lossy_text(F.col("content"))) if "content" in corpus.columns else F.col("text")
+
+
+def _bytes(corpus: DataFrame) -> Column:
+    return F.octet_length(F.coalesce(F.col("content"), F.col("text").cast("binary")) if "content" in corpus.columns else F.col("text")).cast("bigint")
+
+
+def _keys(corpus: DataFrame) -> list[str]:
+    return [c for c in ("shard", "file_idx") if c in corpus.columns]
+
+
 def postings(corpus: DataFrame) -> DataFrame:
-    """(file_idx, tri, pos, byte_offset): every window of three code points; pos counts code points from 0."""
-    return corpus.filter(F.length("text") >= ngrams.SIZE).select("file_idx", tx.fence(ngrams.trigrams(F.col("text"))).alias("_t")).select("file_idx", F.inline("_t")).select("file_idx", "tri", F.col("idx").alias("pos"), "byte_offset")
+    """([shard,] file_idx, tri, pos, byte_offset): every window of three code points; pos counts code points from 0."""
+    keys, text = _keys(corpus), readable(corpus)
+    return corpus.filter(F.length(text) >= ngrams.SIZE).select(*keys, tx.fence(ngrams.trigrams(text)).alias("_t")).select(*keys, F.inline("_t")).select(*keys, "tri", F.col("idx").alias("pos"), "byte_offset")
+
 
+def positions(corpus: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """([shard,] file_idx, tri, pos): postings without byte offsets, which cost a second running sum.
 
-def positions(corpus: DataFrame) -> DataFrame:
-    """(file_idx, tri, pos): postings without byte offsets, which cost a second running sum."""
-    return corpus.filter(F.length("text") >= ngrams.SIZE).select("file_idx", tx.fence(ngrams.trigram_texts(F.col("text"))).alias("_t")).select("file_idx", F.posexplode("_t").alias("p", "tri")).select("file_idx", "tri", F.col("p").cast("bigint").alias("pos"))
+    only: these trigrams. Texts without any are left out at the scan, and other places before they become rows.
+    """
+    keys, text = _keys(corpus), readable(corpus)
+    docs = corpus.filter(F.length(text) >= ngrams.SIZE)
+    if only is None:
+        return docs.select(*keys, tx.fence(ngrams.trigram_texts(text)).alias("_t")).select(*keys, F.posexplode("_t").alias("p", "tri")).select(*keys, "tri", F.col("p").cast("bigint").alias("pos"))
+    docs = docs.filter(reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in only]))
+    at = F.transform(ngrams.trigram_texts(text), lambda t, i: F.struct(t.alias("tri"), i.cast("bigint").alias("pos")))
+    return docs.select(*keys, tx.fence(F.filter(at, lambda x: x["tri"].isin(only))).alias("_t")).select(*keys, F.inline("_t"))
 
 
 def tri_stats(rows: DataFrame) -> DataFrame:
@@ -48,23 +74,30 @@ def posting_lists(rows: DataFrame) -> DataFrame:
 
 
 def files(corpus: DataFrame, shard: str | None = None) -> DataFrame:
-    """(file_idx, path, content_offset, content_length, newlines, end_rune): offsets run inside a shard."""
+    """(file_idx, path, content_offset, content_length, newlines, start_rune, end_rune): offsets run inside a shard."""
     keys = [shard] if shard else []
-    size = F.octet_length("text").cast("bigint")
-    meta = corpus.select(*keys, "file_idx", "path", size.alias("content_length"), F.length("text").cast("bigint").alias("r"), tx.newline_offsets(F.col("text")).alias("newlines"))
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("file_idx")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return meta.select(
-        *keys, "file_idx", "path", F.coalesce(F.sum("content_length").over(before), F.lit(0)).cast("bigint").alias("content_offset"), "content_length", "newlines",
-        F.sum("r").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias("end_rune"),
+    lines = tx.newline_offsets(F.col("text"))
+    if "content" in corpus.columns:
+        lines = F.when(F.col("text").isNotNull(), lines).otherwise(tx.newline_offsets(tx.one_per_byte(F.col("content")), F.length))
+    meta = corpus.select(*keys, "file_idx", "path", _bytes(corpus).alias("content_length"), F.length(readable(corpus)).cast("bigint").alias("r"), lines.alias("newlines"))
+    # running sums in two levels: inside blocks of files, and over the blocks' totals, so that no task holds all files
+    meta = meta.withColumn("_b", F.floor(F.col("file_idx") / BLOCK))
+    inside = Window.partitionBy(*keys, "_b").orderBy("file_idx").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("bigint")
+    totals = meta.groupBy(*keys, "_b").agg(F.sum("content_length").alias("_c"), F.sum("r").alias("_r"))
+    totals = totals.select(*keys, "_b", before("_c", over).alias("_c0"), before("_r", over).alias("_r0"))
+    rows = meta.withColumn("_c", before("content_length", inside)).withColumn("_r", before("r", inside)).join(totals, [*keys, "_b"])
+    return rows.select(
+        *keys, "file_idx", "path", (F.col("_c0") + F.col("_c")).alias("content_offset"), "content_length", "newlines", (F.col("_r0") + F.col("_r")).alias("start_rune"), (F.col("_r0") + F.col("_r") + F.col("r")).alias("end_rune"),
     )
 
 
 def metadata(corpus: DataFrame, shard: str | None = None) -> DataFrame:
     """(version, file_count, total_bytes, total_runes, plain_ascii), a row a shard."""
     return corpus.groupBy(*([shard] if shard else [])).agg(
-        F.lit(VERSION).cast("bigint").alias("version"), F.count("*").alias("file_count"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint").alias("total_bytes"),
-        F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint").alias("total_runes"), F.coalesce(F.bool_and(tx.is_ascii(F.col("text"))), F.lit(True)).alias("plain_ascii"),
+        F.lit(VERSION).cast("bigint").alias("version"), F.count("*").alias("file_count"), F.coalesce(F.sum(_bytes(corpus)), F.lit(0)).cast("bigint").alias("total_bytes"),
+        F.coalesce(F.sum(F.length(readable(corpus))), F.lit(0)).cast("bigint").alias("total_runes"), F.coalesce(F.bool_and(tx.is_ascii(F.col("text")) & F.col("text").isNotNull()), F.lit(True)).alias("plain_ascii"),
     )
 
 
@@ -94,26 +127,25 @@ class IndexBuilder:
         """Writes the index of the admitted documents; returns (skip_reason, files, bytes). corpus has content or text."""
         raw = "content" if "content" in corpus.columns else "text"
         judged = source.admitted(corpus, self.options, raw)
-        kept = judged.filter("skip_reason = 'None'")
+        # a skipped file takes no room, but one that is larger than a shard still starts a new one
+        judged = source.assign_shards(judged, self.options.shard_max, raw, F.col("skip_reason") != "None")
+        kept = judged.filter((F.col("skip_reason") == "None") & F.col(raw).isNotNull())
         if "text" not in kept.columns:
             kept = source.with_text(kept)
-        # a skipped file may still have started a new shard, so shards are dealt before the skip
-        # ... unless no shard could hold it
-        fits = (F.col("skip_reason") != "TooLarge") | (F.octet_length(raw) <= self.options.shard_max)
-        sharded = source.assign_shards(judged.select("file_idx", F.when(fits, F.col(raw)).alias(raw)), self.options.shard_max, raw).select("file_idx", "shard")
-        kept = kept.join(sharded, "file_idx").select("shard", "file_idx", "path", "text").filter(F.col("text").isNotNull())
+        rest = F.when(F.col("text").isNull(), F.col("content")) if "content" in kept.columns else F.lit(None)
+        kept = kept.select("shard", "file_idx", "path", "text", rest.cast("binary").alias("content"))
         kept.write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/contents")
-        kept = corpus.sparkSession.read.parquet(f"{folder}/contents").withColumn("shard", F.col("shard").cast("bigint"))
-        tables = {"files": files(kept, "shard"), "metadata": metadata(kept, "shard").withColumn("created_at", F.current_timestamp())}
-        tables |= {tag: make(kept) for tag, make in self.extensions.items()}
+        kept = corpus.sparkSession.read.schema(kept.schema).parquet(f"{folder}/contents")
+        tables = {"files": files(kept, "shard")} | {tag: make(kept) for tag, make in self.extensions.items()}
+        rows = postings(kept)
+        dealt = rows.repartitionByRange(*([partitions] if partitions else []), "shard", "tri").sortWithinPartitions("shard", "tri", "file_idx", "pos")
+        dealt.write.mode("overwrite").partitionBy("shard").option("parquet.bloom.filter.enabled#tri", "true").parquet(f"{folder}/postings")
+        stored = corpus.sparkSession.read.schema(rows.schema).parquet(f"{folder}/postings")
+        tables["tri_stats"] = tri_stats(stored).sort("tri")
+        tables["metadata"] = metadata(kept, "shard").withColumn("created_at", F.current_timestamp())  # last: an index without it is none
         for tag, df in tables.items():
             writer = df.write.mode("overwrite")
             (writer.partitionBy("shard") if "shard" in df.columns else writer).parquet(f"{folder}/{tag}")
-        rows = postings(kept).join(kept.select("file_idx", "shard"), "file_idx")
-        dealt = rows.repartitionByRange(*([partitions] if partitions else []), "shard", "tri").sortWithinPartitions("shard", "tri", "file_idx", "pos")
-        dealt.write.mode("overwrite").partitionBy("shard").option("parquet.bloom.filter.enabled#tri", "true").parquet(f"{folder}/postings")
-        stored = corpus.sparkSession.read.parquet(f"{folder}/postings")
-        tri_stats(stored).sort("tri").write.mode("overwrite").parquet(f"{folder}/tri_stats")
         return source.index_summary(judged, raw)
 
 
@@ -154,7 +186,7 @@ class Index:
     def table(self, tag: str) -> DataFrame:
         """A table with global file_idx; folders other than the first are renumbered densely by file_idx."""
         if not self.folders:
-            return self.spark.createDataFrame([], "file_idx bigint, path string, text string, tri string, pos bigint, byte_offset bigint, freq bigint, docs bigint, file_count bigint, total_bytes bigint, part int")
+            return self.spark.createDataFrame([], "file_idx bigint, path string, text string, content binary, tri string, pos bigint, byte_offset bigint, freq bigint, docs bigint, file_count bigint, total_bytes bigint, part int")
         t = self._read(tag)
         if "file_idx" not in t.columns or len(self.folders) == 1:
             return t
@@ -168,14 +200,23 @@ class Index:
 
     @property
     def corpus(self) -> DataFrame:
-        return self.table("contents").select("file_idx", "path", "text")
+        """(file_idx, path, text, content); content of files that are not UTF-8, whose text is null."""
+        return self.table("contents").select("file_idx", "path", "text", "content")
 
     def file_count(self) -> int:
         return (self._read("metadata").agg(F.sum("file_count")).first()[0] or 0) if self.folders else 0
 
-    def content(self, file_idx: int) -> str | None:
+    def content(self, file_idx: int) -> str | bytes | None:
         row = self.corpus.filter(F.col("file_idx") == file_idx).first()
-        return row["text"] if row else None
+        return (bytes(row["content"]) if row["text"] is None else row["text"]) if row else None
+
+    def counters(self) -> DataFrame:
+        """One row: ngram_count, posting_count, posting_bytes (delta varints)."""
+        from .postings import posting_bytes
+
+        stats = self._read("tri_stats").agg(F.count_distinct("tri").alias("ngram_count"), F.coalesce(F.sum("freq"), F.lit(0)).alias("posting_count"))
+        size = posting_bytes(self.table("postings")).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("posting_bytes"))
+        return stats.crossJoin(size)  # one row each
 
     def file_entry(self, file_idx: int):
         return self.table("files").filter(F.col("file_idx") == file_idx).first()

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import globs, ngrams, text as tx
+from ..functions import globs, text as tx
 from ..plans import folding, regex as rx
 from ..plans.query import Query
-from .search import MATCH, _limited, matches as scan_matches
+from .search import matches as scan_matches
 
 
 def pattern_trigrams(pattern: str) -> list[tuple[int, str]]:
@@ -36,7 +36,7 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def frequencies(stats: DataFrame, pattern: str, case_sensitive: bool = True) -> list[tuple[int, int]]:
     """(index, frequency) of each of the pattern's trigrams; case variants are added up."""
-    wanted = {i: [t] if case_sensitive else folding.trigram_variants(t) for i, t in pattern_trigrams(pattern)}
+    wanted = {i: [t] if case_sensitive else folding.posting_variants(t) for i, t in pattern_trigrams(pattern)}
     every = sorted({t for ts in wanted.values() for t in ts})
     found = {r["tri"]: r["freq"] for r in stats.filter(F.col("tri").isin(every)).select("tri", "freq").collect()}  # as many as the pattern has
     return [(i, sum(found.get(t, 0) for t in ts)) for i, ts in wanted.items()]
@@ -50,22 +50,11 @@ def candidates(rows: DataFrame, stats: DataFrame, pattern: str, case_sensitive:
     if any(n == 0 for _, n in freqs):
         return rows.select("file_idx", "pos").limit(0)
     i, j = selective_pair(freqs)
-    at = lambda k: rows.filter(F.col("tri").isin([pattern[k : k + 3]] if case_sensitive else folding.trigram_variants(pattern[k : k + 3])))
+    at = lambda k: rows.filter(F.col("tri").isin([pattern[k : k + 3]] if case_sensitive else folding.posting_variants(pattern[k : k + 3])))
     found = at(i).select("file_idx", "pos") if i == j else distance_join(at(i), at(j), j - i)
     return found.select("file_idx", (F.col("pos") - i).alias("pos")).filter("pos >= 0")
 
 
-def verified(corpus: DataFrame, found: DataFrame, pattern: str, case_sensitive: bool = True) -> DataFrame:
-    """MATCH rows of the candidates that hold the pattern."""
-    n = len(pattern)
-    docs = corpus.select(F.col("file_idx").alias("_f"), "path", "text")
-    rows = found.join(docs, F.col("file_idx") == F.col("_f"))
-    span = F.substring("text", F.col("pos").cast("int") + 1, F.lit(n))
-    ok = span == pattern if case_sensitive else F.lower(span) == pattern.lower()
-    prefix = F.left("text", F.col("pos").cast("int"))
-    return rows.filter(ok).select("file_idx", F.octet_length(prefix).cast("bigint").alias("byte_offset"), F.octet_length(span).cast("bigint").alias("byte_length"), tx.line_number(F.col("text"), prefix).alias("line_number"))
-
-
 def files_with(rows: DataFrame, stats: DataFrame, literal: str, case_sensitive: bool = True) -> DataFrame | None:
     """(file_idx) of the files that hold the literal's rarest trigram: at least all that hold the literal."""
     freqs = frequencies(stats, literal, case_sensitive)
@@ -73,7 +62,7 @@ def files_with(rows: DataFrame, stats: DataFrame, literal: str, case_sensitive:
         return None
     i, n = min(freqs, key=lambda x: (x[1], x[0]))
     tri = literal[i : i + 3]
-    return rows.filter(F.col("tri").isin([tri] if case_sensitive else folding.trigram_variants(tri))).select("file_idx").distinct()
+    return rows.filter(F.col("tri").isin([tri] if case_sensitive else folding.posting_variants(tri))).select("file_idx").distinct()
 
 
 def candidate_files(rows: DataFrame, stats: DataFrame, need, case_sensitive: bool = True) -> DataFrame | None:
@@ -89,8 +78,8 @@ def candidate_files(rows: DataFrame, stats: DataFrame, need, case_sensitive: boo
     return None
 
 
-def search(index, query: Query) -> DataFrame:
-    """MATCH rows by way of the index's postings; the same rows as a scan."""
+def narrowed(index, query: Query) -> DataFrame:
+    """The index's corpus without the files that its postings rule out; each text that is left is read once."""
     o = query.options
     corpus, rows, stats = index.corpus, index.table("postings"), index.table("tri_stats")
     stats = stats.groupBy("tri").agg(F.sum("freq").alias("freq"))
@@ -98,15 +87,16 @@ def search(index, query: Query) -> DataFrame:
     if o.file_pattern is not None:
         corpus = corpus.filter(globs.matches(F.col("path"), [o.file_pattern]))
     if literal is not None:
-        found = candidates(rows, stats, literal, o.case_sensitive) if o.case_sensitive or literal.isascii() else None
-        if found is not None:
-            return _limited(verified(corpus, found.distinct(), literal, o.case_sensitive).select(*MATCH), o.max_matches)
-        return scan_matches(corpus, query)
-    need = rx.required(rx.parse(query.pattern, o.case_sensitive))
-    allowed = candidate_files(rows, stats, need, o.case_sensitive) if o.case_sensitive else None
-    if allowed is not None:
-        corpus = corpus.join(allowed, "file_idx", "left_semi")
-    return scan_matches(corpus, query)
+        found = candidates(rows, stats, literal, o.case_sensitive)
+        allowed = None if found is None else found.select("file_idx").distinct()
+    else:
+        allowed = candidate_files(rows, stats, rx.required(rx.parse(query.pattern, o.case_sensitive)), o.case_sensitive)
+    return corpus if allowed is None else corpus.join(allowed, "file_idx", "left_semi")
+
+
+def search(index, query: Query) -> DataFrame:
+    """MATCH rows by way of the index's postings; the same rows as a scan."""
+    return scan_matches(narrowed(index, query), query)
 
 
 def search_stats(index, query: Query) -> DataFrame:
@@ -123,14 +113,15 @@ def search_stats(index, query: Query) -> DataFrame:
     if literal is not None and len(literal) >= 3:
         freqs = frequencies(stats, literal, query.options.case_sensitive)
         for i, n in freqs:
-            lookups += 1 if query.options.case_sensitive else len(folding.trigram_variants(literal[i : i + 3]))
+            lookups += 1 if query.options.case_sensitive else len(folding.posting_variants(literal[i : i + 3]))
             if n == 0:
                 break
         used = all(n for _, n in freqs)
         if used:
             found = candidates(rows, stats, literal, query.options.case_sensitive).distinct().agg(F.count("*").alias("c"))
             i, j = selective_pair(freqs)
-            lists = rows.filter(F.col("tri").isin(sorted({literal[i : i + 3], literal[j : j + 3]})))
+            tris = {literal[i : i + 3], literal[j : j + 3]}
+            lists = rows.filter(F.col("tri").isin(sorted(tris if query.options.case_sensitive else {v for t in tris for v in folding.posting_variants(t)})))
             size = posting_bytes(lists).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"))
             total = total.crossJoin(found).crossJoin(size)  # one row each
             checked, loaded = F.col("c"), F.col("b")
@@ -146,4 +137,4 @@ def posting_bytes(rows: DataFrame) -> DataFrame:
     return rows.select("tri", tx.varint_size(delta).alias("v")).groupBy("tri").agg(F.sum("v").alias("bytes"))
 
 
-__all__ = ["candidate_files", "candidates", "distance_join", "files_with", "frequencies", "merge", "ngrams", "posting_bytes", "search", "search_stats", "selective_pair", "verified"]
+__all__ = ["candidate_files", "candidates", "distance_join", "files_with", "frequencies", "merge", "narrowed", "posting_bytes", "search", "search_stats", "selective_pair"]

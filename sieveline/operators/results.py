@@ -11,19 +11,16 @@ from .search import MATCH, _limited, with_hits
 
 
 def match_lines(corpus: DataFrame, query: Query) -> DataFrame:
-    """(file_idx, byte_offset, rendered): path:line:text of every match; a file without \\n shows line 0 and its only line."""
+    """(file_idx, byte_offset, rendered): path:line:text of every match.
+
+    A file of one line shows line 0 and that line; one that is not UTF-8 shows <binary> for its lines.
+    """
     docs = with_hits(corpus, query).withColumn("_l", tx.fence(tx.lines(F.col("text"))))
-    rows = docs.select("file_idx", "path", F.inline(F.transform("hits", lambda h: F.struct(h["byte_offset"].alias("byte_offset"), h["line_number"].alias("n"), F.get("_l", (F.coalesce(h["line_number"], F.lit(1)) - 1).cast("int")).alias("t")))))
+    rows = docs.select("file_idx", "path", F.inline(F.transform("hits", lambda h: F.struct(h["byte_offset"].alias("byte_offset"), h["line_number"].alias("n"), F.when(F.col("text").isNull(), F.lit("<binary>")).otherwise(F.get("_l", (F.coalesce(h["line_number"], F.lit(1)) - 1).cast("int"))).alias("t")))))
     rows = _limited(rows, query.options.max_matches)
     return rows.select("file_idx", "byte_offset", F.concat_ws(":", "path", F.coalesce("n", F.lit(0)).cast("string"), F.coalesce("t", F.lit(""))).alias("rendered"))
 
 
-def binary_lines(corpus: DataFrame, matches: DataFrame) -> DataFrame:
-    """(file_idx, byte_offset, rendered) for matches in files that are not UTF-8: path:N:<binary>."""
-    bad = corpus.filter(F.col("text").isNull()).select("file_idx", "path")
-    return matches.join(bad, "file_idx").select("file_idx", "byte_offset", F.concat_ws(":", "path", F.coalesce("line_number", F.lit(0)).cast("string"), F.lit("<binary>")).alias("rendered"))
-
-
 def context_lines(corpus: DataFrame, query: Query) -> DataFrame:
     """(file_idx, line, part, rendered) in print order by (file_idx, line, part).
 
@@ -48,4 +45,4 @@ def context_lines(corpus: DataFrame, query: Query) -> DataFrame:
     return rows.select("file_idx", F.col("line").cast("bigint").alias("line"), F.inline(F.when(F.col("gap"), F.array(dashes, shown)).otherwise(F.array(shown))))
 
 
-__all__ = ["MATCH", "binary_lines", "context_lines", "match_lines"]
+__all__ = ["MATCH", "context_lines", "match_lines"]

@@ -72,9 +72,9 @@ def _hit_rows(starts: Column, lengths: Column, above: Column, many: Column) -> C
     return F.transform(rows, lambda x: F.struct(x["o"].alias("byte_offset"), x["n"].alias("byte_length"), F.when(many, x["l"] + 1).alias("line_number")))
 
 
-def _at_hits(text: Column, pieces: Column, drop: Column, lengths: Column) -> Column:
+def _at_hits(text: Column, pieces: Column, drop: Column, lengths: Column, measure=F.octet_length) -> Column:
     """array<HIT> for the starts of pieces, without the first `drop` of them (0 or 1)."""
-    starts = tx.running_starts(F.transform(pieces, lambda p: F.octet_length(p).cast("bigint")))
+    starts = tx.running_starts(F.transform(pieces, lambda p: measure(p).cast("bigint")))
     above = tx.running_starts(F.transform(pieces, tx.newlines))
     cut = lambda a: F.slice(a, drop + 1, F.size(pieces) - drop)
     return _hit_rows(cut(starts), lengths, cut(above), F.contains(text, F.lit("\n")))
@@ -91,6 +91,22 @@ def literal_hits(text: Column, literal: str, case_sensitive: bool) -> Column:
     return tx.bound(both, lambda v: _at_hits(text, v["p"], F.size(v["p"]) - F.size(v["s"]), F.transform(v["s"], lambda s: F.octet_length(s).cast("bigint"))))
 
 
+def byte_pattern(literal: str, case_sensitive: bool) -> str:
+    """A Java pattern for the literal's UTF-8 bytes in one_per_byte(); ignoring case, that of A-Z only."""
+    return "".join(f"[{x.lower()}{x.upper()}]" if not case_sensitive and x.isascii() and x.isalpha() else f"\\x{{{ord(x):x}}}" for x in literal.encode().decode("latin-1"))
+
+
+def byte_hits(content: Column, literal: str, case_sensitive: bool) -> Column:
+    """array<HIT> of all places in bytes that are no UTF-8."""
+    java, size = byte_pattern(literal, case_sensitive), F.lit(len(literal.encode())).cast("bigint")
+
+    def at(t: Column) -> Column:
+        drop = F.when(t.rlike(f"^(?:{java})"), 0).otherwise(1)
+        return tx.bound(F.split(t, f"(?={java})", -1), lambda p: _at_hits(t, p, drop, F.array_repeat(size, F.size(p) - drop), F.length))
+
+    return tx.bound(tx.one_per_byte(content), at)
+
+
 def regex_hits(text: Column, java: str) -> Column:
     """array<HIT> of the leftmost matches that don't overlap; the pattern never matches nothing."""
     both = F.struct(F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("m"), F.split(text, java, -1).alias("g"))
@@ -132,16 +148,22 @@ def _arrow_hits(pattern: str):
 
 
 def with_hits(corpus: DataFrame, query: Query, prefilter: bool = True) -> DataFrame:
-    """(file_idx, path, text, hits) of the documents with a hit."""
+    """(file_idx, path, text, hits) of the documents with a hit. Without a text, literals are looked for in the content's bytes."""
     o: SearchOptions = query.options
-    text = F.col("text")
-    docs = corpus.select("file_idx", "path", "text").filter(text.isNotNull())
+    text, raw = F.col("text"), F.col("content")
+    literal = query.pattern if not query.is_regex else rx.plain_text(query.pattern)
+    if literal is not None and "content" in corpus.columns:
+        docs = corpus.select("file_idx", "path", "text", "content").filter(text.isNotNull() | raw.isNotNull())
+    else:
+        docs = corpus.select("file_idx", "path", "text").filter(text.isNotNull())
     if o.file_pattern is not None:
         docs = docs.filter(globs.matches(F.col("path"), [o.file_pattern]))
-    literal, tree = query.pattern, None
-    if query.is_regex:
-        tree = rx.parse(query.pattern, o.case_sensitive)
-        literal = rx.plain_text(query.pattern)
+    tree = rx.parse(query.pattern, o.case_sensitive) if query.is_regex else None
+    if literal is not None and "content" in docs.columns:
+        in_bytes = text.isNull() & tx.one_per_byte(raw).rlike(byte_pattern(literal, o.case_sensitive))
+        in_text = F.contains(text, F.lit(literal)) if o.case_sensitive else text.rlike(either_case(literal))
+        hits = F.when(text.isNotNull(), literal_hits(text, literal, o.case_sensitive)).otherwise(byte_hits(raw, literal, o.case_sensitive))
+        return docs.filter(F.coalesce(in_text, F.lit(False)) | in_bytes).select("file_idx", "path", "text", tx.fence(hits).alias("hits"))
     if literal is not None:
         if o.case_sensitive:
             docs = docs.filter(F.contains(text, F.lit(literal)))

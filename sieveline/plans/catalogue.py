@@ -1,12 +1,12 @@
 """The registered queries of the search engine and their SQL.
 
-All run on the whole documents table as a corpus: file_idx is doc_id, the path source/lang/doc_id.txt. Fifteen queries
-over postings take documents of one source, a predicate that reaches the scan; each has a twin, <name>_whole, that
-does the same for every document.
+All run on the whole documents table as a corpus: file_idx is doc_id, the path source/lang/doc_id.txt. Queries through
+a stored index cover every document that an index admits whatever its limits on size.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import wraps
 
@@ -17,7 +17,7 @@ from ..functions import globs, ngrams, text as tx
 from ..operators import index as ix, postings as px, results, search as se
 from ..sources import corpus as source
 from . import regex as rx
-from .folding import trigram_variants
+from .folding import posting_variants
 from .query import Query, SearchOptions
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,8 +295,7 @@ def rune_offset_sample(spark, sf_dir):
 g as (select unnest(generate_series(0, (select max(hi) - 1 from e)::bigint, 997)) as g) select g::bigint as rune, file_idx, (g - lo)::bigint as local from g join e on g >= lo and g < hi""")
 def rune_to_doc(spark, sf_dir):
     """Every 997th global code point: its document, and its place there. A place equal to an end is the next document's."""
-    e = ix.files(docs(spark, sf_dir)).select("file_idx", F.col("end_rune").alias("hi"), (F.col("end_rune") - F.lag("end_rune", 1, 0).over(Window.orderBy("file_idx"))).alias("n"))
-    e = e.withColumn("lo", F.col("hi") - F.col("n")).filter("n > 0")
+    e = ix.files(docs(spark, sf_dir).filter(F.col("text").isNotNull())).select("file_idx", F.col("end_rune").alias("hi"), F.col("start_rune").alias("lo")).filter("hi > lo")
     # each interval lists its own multiples, so no range join is needed
     first = F.ceil(F.col("lo") / 997)
     last = F.floor((F.col("hi") - 1) / 997)
@@ -306,7 +305,7 @@ def rune_to_doc(spark, sf_dir):
 @query(f"with {C}, e as (select file_idx, length(text) as n, sum(length(text)) over (order by file_idx) as hi from c) select file_idx, (hi - n)::bigint as first_rune, (hi - 1)::bigint as last_rune from e where n > 0")
 def rune_to_doc_ends(spark, sf_dir):
     """The first and the last global code point of every document that has any."""
-    e = ix.files(docs(spark, sf_dir).filter(F.col("text").isNotNull())).select("file_idx", F.col("end_rune").alias("hi"), F.lag("end_rune", 1, 0).over(Window.orderBy("file_idx")).alias("lo"))
+    e = ix.files(docs(spark, sf_dir).filter(F.col("text").isNotNull())).select("file_idx", F.col("end_rune").alias("hi"), F.col("start_rune").alias("lo"))
     return e.filter("hi > lo").select("file_idx", F.col("lo").cast("bigint").alias("first_rune"), (F.col("hi") - 1).cast("bigint").alias("last_rune"))
 
 
@@ -321,33 +320,29 @@ def global_file_resolve(spark, sf_dir):
 
 # ---------------------------------------------------------------- trigrams and postings
 
-ONE = "source = 'src3'"
-
-
-def _one(spark, sf_dir):
-    return docs(spark, sf_dir).filter(F.startswith(F.col("path"), F.lit("src3/")))
+#: Documents that an index takes whatever its limits.
+ADMITTED = "(strlen(text) = 0 or strlen(text) >= 3 and not contains(text, chr(0)))"
 
 
-ONE_C = "path like 'src3/%'"
+def over_documents(sql: str):
+    """Registers f(corpus) for all documents."""
 
+    def register(f: Callable) -> Callable:
+        return query(sql)(wraps(f)(lambda spark, sf_dir: f(docs(spark, sf_dir))))
 
-#: Documents that an index takes whatever its limits.
-ADMITTED = "(strlen(text) = 0 or strlen(text) >= 3 and not contains(text, chr(0)))"
+    return register
 
 
-def one_and_whole(sql: str, stored: bool = False):
-    """Registers f(corpus or index) for one source, and as <name>_whole for all documents, with the predicate widened."""
+def over_index(sql: str):
+    """Registers f(index) for an index of all documents."""
 
     def register(f: Callable) -> Callable:
-        name = f"{f.__name__}_whole"
-        _queries[name] = lambda spark, sf_dir: f((_stored_whole if stored else docs)(spark, sf_dir))
-        _sql[name] = sql.replace(ONE_C, ADMITTED if stored else "true")
-        return query(sql)(wraps(f)(lambda spark, sf_dir: f((_stored if stored else _one)(spark, sf_dir))))
+        return query(sql)(wraps(f)(lambda spark, sf_dir: f(_stored(spark, sf_dir))))
 
     return register
 
 
-@one_and_whole(f"with {tri_cte(ONE_C)} select file_idx, tri, pos::bigint as pos, strlen(left(text, pos))::bigint as byte_offset from t")
+@over_documents(f"with {tri_cte()} select file_idx, tri, pos::bigint as pos, strlen(left(text, pos))::bigint as byte_offset from t")
 def trigram_postings(corpus):
     return ix.postings(corpus)
 
@@ -355,51 +350,43 @@ def trigram_postings(corpus):
 CODE = "((ord(substring(tri, 1, 1))::bigint << 42) | (ord(substring(tri, 2, 1))::bigint << 21) | ord(substring(tri, 3, 1))::bigint)"
 
 
-@one_and_whole(f"with {tri_cte(ONE_C)} select distinct tri, {CODE} as ngram from t")
+@over_documents(f"with {tri_cte()} select distinct tri, {CODE} as ngram from t")
 def trigram_encode(corpus):
     return ix.postings(corpus).select("tri").distinct().select("tri", ngrams.encoded(F.col("tri")).alias("ngram"))
 
 
-@one_and_whole(f"with {tri_cte(ONE_C)}, n as (select distinct {CODE} as ngram from t) select ngram, chr((ngram >> 42)::integer) || chr(((ngram >> 21) & 2097151)::integer) || chr((ngram & 2097151)::integer) as tri from n")
+@over_documents(f"with {tri_cte()}, n as (select distinct {CODE} as ngram from t) select ngram, chr((ngram >> 42)::integer) || chr(((ngram >> 21) & 2097151)::integer) || chr((ngram & 2097151)::integer) as tri from n")
 def trigram_decode(corpus):
     n = ix.postings(corpus).select("tri").distinct().select(ngrams.encoded(F.col("tri")).alias("ngram"))
     return n.select("ngram", ngrams.decoded(F.col("ngram")).alias("tri"))
 
 
-@query(f"with {C}, r as (select distinct unnest(string_split(text, '')) as rune from c) select rune, array_to_string(list_sort(list_distinct([rune] || string_split(lower(rune), '') || string_split(upper(rune), ''))), ',') as variants from r where rune not in ('', ',') and rune <> 'ß'")
-def case_variants(spark, sf_dir):
-    r = docs(spark, sf_dir).select(F.explode(ngrams.runes(F.col("text"))).alias("rune")).distinct().filter(~F.col("rune").isin("", ",", "ß"))
-    return r.select("rune", F.array_join(F.array_sort(ngrams.rune_variants(F.col("rune"))), ",").alias("variants"))
+#: Case as this engine has it, which for two characters differs from DuckDB's.
+LOWER = "case when {0} = 'İ' then 'i' || chr(775) else lower({0}) end"
+UPPER = "case when {0} = 'ß' then 'SS' else upper({0}) end"
+RUNES = f"unnest(list_distinct([{{0}}] || string_split({LOWER}, '') || string_split({UPPER}, '')))"
 
 
-@one_and_whole(f"""with {tri_cte(ONE_C)}, d as (select distinct tri, substring(tri, 1, 1) as a, substring(tri, 2, 1) as b, substring(tri, 3, 1) as c from t where not regexp_matches(tri, '[ßİ]'))
-select distinct tri, x || y || z as variant from (select tri, unnest([a, lower(a), upper(a)]) as x, b, c from d), lateral (select unnest([b, lower(b), upper(b)]) as y), lateral (select unnest([c, lower(c), upper(c)]) as z)""")
-def case_trigrams(corpus):
-    t = ix.postings(corpus).select("tri").distinct().filter(~F.col("tri").rlike("[ßİ]"))
-    return t.select("tri", F.explode(ngrams.trigram_variants(F.col("tri"))).alias("variant"))
-
-
-def case_variants_all(spark, sf_dir):
-    """case_variants of every code point, as an array. No SQL: DuckDB maps sharp s and dotted capital I otherwise."""
+@query(f"with {C}, r as (select distinct unnest(string_split(text, '')) as rune from c), v as (select rune, {RUNES.format('rune')} as v from r where rune <> '') select rune, string_agg(v, '|' order by v) as variants from v group by rune")
+def case_variants(spark, sf_dir):
     r = docs(spark, sf_dir).select(F.explode(ngrams.runes(F.col("text"))).alias("rune")).distinct()
-    return r.select("rune", F.array_sort(ngrams.rune_variants(F.col("rune"))).alias("variants"))
+    return r.select("rune", F.array_join(F.array_sort(ngrams.rune_variants(F.col("rune"))), "|").alias("variants"))
 
 
-def case_trigrams_all(spark, sf_dir):
-    """case_trigrams of every trigram of every document. No SQL, for the same reason."""
+@query(f"""with {tri_cte()}, d as (select distinct tri, substring(tri, 1, 1) as a, substring(tri, 2, 1) as b, substring(tri, 3, 1) as c from t),
+r as (select distinct unnest([a, b, c]) as rune from d), v as (select rune, {RUNES.format('rune')} as v from r)
+select distinct tri, x.v || y.v || z.v as variant from d join v x on x.rune = a join v y on y.rune = b join v z on z.rune = c""")
+def case_trigrams(spark, sf_dir):
     t = ix.positions(docs(spark, sf_dir)).select("tri").distinct()
     return t.select("tri", F.explode(ngrams.trigram_variants(F.col("tri"))).alias("variant"))
 
 
-_queries |= {f.__name__: f for f in (case_variants_all, case_trigrams_all)}
-
-
 @query(f"with {tri_cte()} select tri, count(*) as freq, count(distinct file_idx) as docs from t group by tri")
 def posting_sizes(spark, sf_dir):
     return ix.tri_stats(ix.positions(docs(spark, sf_dir)))
 
 
-@one_and_whole(f"with {tri_cte(ONE_C)} select file_idx, tri, count(*) as n, string_agg(pos::varchar, ',' order by pos) as positions from t group by 1, 2")
+@over_documents(f"with {tri_cte()} select file_idx, tri, count(*) as n, string_agg(pos::varchar, ',' order by pos) as positions from t group by 1, 2")
 def posting_lists(corpus):
     p = ix.posting_lists(ix.postings(corpus))
     return p.select("file_idx", "tri", F.size("positions").cast("bigint").alias("n"), F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
@@ -413,7 +400,7 @@ GRAMS = ", ".join(f"({i}, '{t}')" for i, t in px.pattern_trigrams(WORD))
 def selective_pair(spark, sf_dir):
     """The two rarest trigrams of a literal; the earlier wins ties."""
     g = spark.createDataFrame(px.pattern_trigrams(WORD), "idx bigint, tri string")
-    p = ix.positions(docs(spark, sf_dir)).filter(F.col("tri").isin([t for _, t in px.pattern_trigrams(WORD)]))
+    p = ix.positions(docs(spark, sf_dir), [t for _, t in px.pattern_trigrams(WORD)])
     n = p.groupBy("tri").agg(F.count("*").alias("n"))
     return g.join(n, "tri", "left").select("idx", "tri", F.coalesce("n", F.lit(0)).alias("freq")).orderBy("freq", "idx").limit(2)
 
@@ -421,40 +408,40 @@ def selective_pair(spark, sf_dir):
 @query(f"with {tri_cte()}, g(idx, tri) as (values {GRAMS}), f as (select g.idx, g.tri, count(*) as freq from g join t using (tri) group by 1, 2) select arg_min(tri, freq * 100 + idx) as tri, min(freq) as freq from f")
 def rarest_trigrams(spark, sf_dir):
     g = spark.createDataFrame(px.pattern_trigrams(WORD), "idx bigint, tri string")
-    p = ix.positions(docs(spark, sf_dir)).filter(F.col("tri").isin([t for _, t in px.pattern_trigrams(WORD)])).groupBy("tri").agg(F.count("*").alias("freq"))
+    p = ix.positions(docs(spark, sf_dir), [t for _, t in px.pattern_trigrams(WORD)]).groupBy("tri").agg(F.count("*").alias("freq"))
     return p.join(g, "tri").agg(F.min_by("tri", F.struct("freq", "idx")).alias("tri"), F.min("freq").alias("freq"))
 
 
 @query(f"with {tri_cte()} select a.file_idx, a.pos::bigint as pos from t a join t b on a.file_idx = b.file_idx and a.pos + 2 = b.pos where a.tri = 'the' and b.tri = 'ere'")
 def distance_join(spark, sf_dir):
-    p = ix.positions(docs(spark, sf_dir).filter(F.contains(F.col("text"), F.lit("the"))))
+    p = ix.positions(docs(spark, sf_dir), ["the", "ere"])
     return px.distance_join(p.filter("tri = 'the'"), p.filter("tri = 'ere'"), 2)
 
 
 @query(f"with {tri_cte()} select file_idx, pos::bigint as pos from t where tri = 'the' union select file_idx, pos::bigint from t where tri in ('The', 'THE')")
 def posting_or_merge(spark, sf_dir):
-    p = ix.positions(docs(spark, sf_dir))
+    p = ix.positions(docs(spark, sf_dir), ["the", "The", "THE"])
     return px.merge(p.filter("tri = 'the'"), p.filter(F.col("tri").isin("The", "THE")))
 
 
-@query(f"with {tri_cte()} select file_idx, pos::bigint as pos from t where tri in ({', '.join(repr(v) for v in trigram_variants('the'))})")
+@query(f"with {tri_cte()} select file_idx, pos::bigint as pos from t where tri in ({', '.join(repr(v) for v in posting_variants('the'))})")
 def posting_case_union(spark, sf_dir):
-    return ix.positions(docs(spark, sf_dir)).filter(F.col("tri").isin(trigram_variants("the"))).select("file_idx", "pos")
+    return ix.positions(docs(spark, sf_dir), posting_variants("the")).select("file_idx", "pos")
 
 
-@one_and_whole(f"with {tri_cte(ONE_C)}, d as (select file_idx, tri, pos, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select file_idx, tri, pos::bigint as pos, delta::bigint as delta from d")
+@over_documents(f"with {tri_cte()}, d as (select file_idx, tri, pos, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select file_idx, tri, pos::bigint as pos, delta::bigint as delta from d")
 def posting_deltas(corpus):
     w = Window.partitionBy("file_idx", "tri").orderBy("pos")
     return ix.postings(corpus).select("file_idx", "tri", "pos", (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0))).alias("delta"))
 
 
-@one_and_whole(f"with {tri_cte(ONE_C)} select file_idx, tri, string_agg(pos::varchar, ',' order by pos) as positions from t group by 1, 2")
+@over_documents(f"with {tri_cte()} select file_idx, tri, string_agg(pos::varchar, ',' order by pos) as positions from t group by 1, 2")
 def delta_roundtrip(corpus):
     p = ix.posting_lists(ix.postings(corpus)).withColumn("d", tx.deltas(F.col("positions")))
     return p.select("file_idx", "tri", F.array_join(F.transform(tx.undeltas(F.col("d")), lambda x: x.cast("string")), ",").alias("positions"))
 
 
-@one_and_whole(f"with {tri_cte(ONE_C)}, d as (select tri, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select tri, sum(case when delta < 128 then 1 when delta < 16384 then 2 else 3 end)::bigint as bytes from d group by tri")
+@over_documents(f"with {tri_cte()}, d as (select tri, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select tri, sum(case when delta < 128 then 1 when delta < 16384 then 2 else 3 end)::bigint as bytes from d group by tri")
 def posting_bytes(corpus):
     return px.posting_bytes(ix.postings(corpus))
 
@@ -468,84 +455,105 @@ def varint_roundtrip(spark, sf_dir):
 
 @query(f"with {tri_cte()} select distinct file_idx from t where tri = 'thi' intersect select distinct file_idx from t where tri = 'sho'")
 def candidate_files_and(spark, sf_dir):
-    p = ix.positions(docs(spark, sf_dir))
+    p = ix.positions(docs(spark, sf_dir), ["thi", "sho"])
     return p.filter("tri = 'thi'").select("file_idx").intersect(p.filter("tri = 'sho'").select("file_idx"))
 
 
 @query(f"with {tri_cte()} select distinct file_idx from t where tri = 'sch' union select distinct file_idx from t where tri = 'qua'")
 def candidate_files_or(spark, sf_dir):
-    p = ix.positions(docs(spark, sf_dir)).filter(F.col("tri").isin("sch", "qua"))
+    p = ix.positions(docs(spark, sf_dir), ["sch", "qua"])
     return p.select("file_idx").distinct()
 
 
-@one_and_whole(f"with {tri_cte(ONE_C)}, d as (select tri, row_number() over (order by tri) as rn, count(*) over () as n from (select distinct tri from t)) select least((rn - 1) // 256, greatest(0, ceil((n - 512) / 256.0)::bigint))::bigint as bucket, min(tri) as first_tri, count(*) as entries from d group by 1")
+@over_documents(f"with {tri_cte()}, d as (select tri, row_number() over (order by tri) as rn, count(*) over () as n from (select distinct tri from t)) select least((rn - 1) // 256, greatest(0, ceil((n - 512) / 256.0)::bigint))::bigint as bucket, min(tri) as first_tri, count(*) as entries from d group by 1")
 def bucket_directory(corpus):
     return ix.bucket_directory(ix.postings(corpus).select("tri").distinct(), 512)
 
 
 # ---------------------------------------------------------------- through a stored index
 
-def _opened(spark, sf_dir, name: str, options: source.BuilderOptions, corpus: Callable):
-    """The named index, built once a session in the warehouse, which executors share."""
-    tag = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+#: No limit on trigrams, and a shard holds the longest admitted document; too small and binary documents stay out.
+STORED = source.BuilderOptions(shard_max=16 << 20, file_max=16 << 20, trigram_max=16 << 20)
+
+
+def _stored(spark, sf_dir):
+    """An index of every admitted document, built once a session in the warehouse, which executors share."""
+    name = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    tag = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sieveline-{spark.sparkContext.applicationId}-{name}"
     try:
         return ix.Index(spark, [tag])
     except ix.InvalidIndex:
-        builder = ix.IndexBuilder(options)
+        builder = ix.IndexBuilder(STORED)
         builder.add_extension("word_counts", word_counts)
-        builder.build(corpus(spark, sf_dir), tag)
+        builder.build(docs(spark, sf_dir), tag)
         return ix.Index(spark, [tag])
 
 
-def _stored(spark, sf_dir):
-    """An index of one source's documents."""
-    return _opened(spark, sf_dir, "sieveline", source.BuilderOptions(shard_max=100_000), _one)
-
-
-#: No limit on trigrams, and a shard holds the longest admitted document; too small and binary documents stay out.
-WHOLE = source.BuilderOptions(shard_max=16 << 20, file_max=16 << 20, trigram_max=16 << 20)
-
-
-def _stored_whole(spark, sf_dir):
-    """An index of every admitted document."""
-    return _opened(spark, sf_dir, "sieveline-whole", WHOLE, docs)
-
-
 def word_counts(corpus: DataFrame) -> DataFrame:
     """The sample extension: words of each file."""
     return corpus.select("file_idx", F.size(F.filter(F.split("text", "[ \\n]+"), lambda x: x != "")).cast("bigint").alias("words"))
 
 
-@one_and_whole(literal_sql("there", where=ONE_C), stored=True)
+@over_index(literal_sql("there", where=ADMITTED))
 def index_literal(index):
     return px.search(index, _q("there"))
 
 
-@one_and_whole(literal_sql("there", False, where=ONE_C), stored=True)
+@over_index(literal_sql("there", False, where=ADMITTED))
 def index_literal_ci(index):
     return px.search(index, _q("there", case_sensitive=False))
 
 
-@one_and_whole(regex_sql("there[a-z]+ (?:on|of)", where=ONE_C), stored=True)
+@over_index(regex_sql("there[a-z]+ (?:on|of)", where=ADMITTED))
 def index_regex(index):
     return px.search(index, _q("there[a-z]+ (on|of)", True))
 
 
-@one_and_whole(literal_sql("the", where=ONE_C, tail="order by file_idx, byte_offset limit 40"), stored=True)
+@over_index(literal_sql("the", where=ADMITTED, tail="order by file_idx, byte_offset limit 40"))
 def multi_shard_merge(index):
     return px.search(index, _q("the", max_matches=40))
 
 
-@one_and_whole(f"with {C} select file_idx, len(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> ''))::bigint as words from c where {ONE_C}", stored=True)
+@over_index(f"with {C} select file_idx, len(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> ''))::bigint as words from c where {ADMITTED}")
 def extension_section(index):
     return index.table("word_counts").select("file_idx", "words")
 
 
-@one_and_whole(f"""with {tri_cte(ONE_C)}, g(idx, tri) as (values {GRAMS}), f as (select g.idx, g.tri, count(t.tri) as freq from g left join t using (tri) group by 1, 2),
+@over_index(f"""with {tri_cte(ADMITTED)}, g(idx, tri) as (values {GRAMS}), f as (select g.idx, g.tri, count(t.tri) as freq from g left join t using (tri) group by 1, 2),
 two as (select min(idx) as i, max(idx) as j from (select idx from f order by freq, idx limit 2)),
 cand as (select distinct a.file_idx, a.pos - two.i as pos from two join t a on a.tri = substring('{WORD}', two.i + 1, 3) join t b on b.tri = substring('{WORD}', two.j + 1, 3) and b.file_idx = a.file_idx and b.pos = a.pos + two.j - two.i where a.pos >= two.i),
 d as (select t.tri, t.pos - coalesce(lag(t.pos) over (partition by t.file_idx, t.tri order by t.pos), 0) as delta from t, two where t.tri in (substring('{WORD}', two.i + 1, 3), substring('{WORD}', two.j + 1, 3))),
-hits as (select count(*) as n from (select file_idx, text, unnest(generate_series(1, length(text) - {len(WORD) - 1})) as i from c where {ONE_C} and contains(text, '{WORD}')) where substring(text, i, {len(WORD)}) = '{WORD}')
-select {len(WORD) - 2}::bigint as ngram_lookups, (select count(*) from cand) as candidates_checked, (select n from hits) as matches_found, (select sum(case when delta < 128 then 1 when delta < 16384 then 2 else 3 end)::bigint from d) as bytes_loaded, true as used_trigram_filtering""", stored=True)
+hits as (select count(*) as n from (select file_idx, text, unnest(generate_series(1, length(text) - {len(WORD) - 1})) as i from c where {ADMITTED} and contains(text, '{WORD}')) where substring(text, i, {len(WORD)}) = '{WORD}')
+select {len(WORD) - 2}::bigint as ngram_lookups, (select count(*) from cand) as candidates_checked, (select n from hits) as matches_found, (select sum(case when delta < 128 then 1 when delta < 16384 then 2 else 3 end)::bigint from d) as bytes_loaded, true as used_trigram_filtering""")
 def search_stats(index):
     return px.search_stats(index, _q(WORD))
+
+
+@over_index(f"with {tri_cte(ADMITTED)}, d as (select tri, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select count(distinct tri) as ngram_count, count(*) as posting_count, sum(case when delta < 128 then 1 when delta < 16384 then 2 else 3 end)::bigint as posting_bytes from d")
+def index_counters(index):
+    return index.counters()
+
+
+@over_index(regex_sql("there[a-z]+ of", "i", where=ADMITTED))
+def index_regex_ci(index):
+    return px.search(index, _q("there[a-z]+ of", True, case_sensitive=False))
+
+
+@over_index(f"with {C} select file_idx, path, md5(text) as text_md5 from c where {ADMITTED}")
+def index_contents(index):
+    """Every stored document as it is fetched."""
+    return index.corpus.select("file_idx", "path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("select conv_id * 1048576 + turn as file_idx, sum(1)::bigint as hits from (select conv_id, turn, text, unnest(generate_series(1, length(text) - 2)) as i from conversations where contains(text, 'the')) where substring(text, i, 3) = 'the' group by 1")
+def literal_conversations(spark, sf_dir):
+    return se.with_hits(source.load(spark, sf_dir, "conversations"), _q("the")).select("file_idx", F.size("hits").cast("bigint").alias("hits"))
+
+
+@query(f"with {C}, w as (select file_idx, text, case when file_idx % 2 = 0 then text else text || chr(233) end as t from c) select file_idx, (len(string_split(text, 'the')) - 1)::bigint as hits from w where contains(text, 'the')")
+def literal_bytes(spark, sf_dir):
+    """The literal in documents of which every other one is no UTF-8: a byte E9 ends it."""
+    d = docs(spark, sf_dir).filter(F.col("text").isNotNull())
+    raw = F.col("text").cast("binary")
+    content = F.when(F.col("file_idx") % 2 == 0, raw).otherwise(F.concat(raw, F.unhex(F.lit("E9"))))
+    return se.with_hits(source.with_text(d.withColumn("content", content).drop("text")), _q("the")).select("file_idx", F.size("hits").cast("bigint").alias("hits"))

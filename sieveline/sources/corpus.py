@@ -6,6 +6,8 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -13,6 +15,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import globs, ngrams, text as tx
 
 
+#: A conversation has fewer turns than this.
+TURNS = 1 << 20
+
+
 @dataclass(frozen=True)
 class BuilderOptions:
     """Limits of an index. Sizes are bytes."""
@@ -36,7 +42,8 @@ def load(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame
     if name == "pages":
         return t.select(F.col("page_id").alias("file_idx"), F.col("url").alias("path"), F.col("html").alias("text"))
     if name == "conversations":
-        return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("file_idx"), F.concat_ws("/", "conv_id", "turn", "role").alias("path"), "text")
+        turn = F.when(F.col("turn").between(0, TURNS - 1), F.col("turn")).otherwise(F.raise_error(F.lit(f"a turn is not from 0 to {TURNS - 1}")).cast("bigint"))
+        return t.select((F.col("conv_id") * TURNS + turn).alias("file_idx"), F.concat_ws("/", "conv_id", "turn", "role").alias("path"), "text")
     raise ValueError(f"no corpus in {name}")
 
 
@@ -47,7 +54,7 @@ def from_rows(spark: SparkSession, files: list[tuple[str, bytes | str]]) -> Data
 
 
 def with_text(corpus: DataFrame) -> DataFrame:
-    """corpus with text: the content where it is valid UTF-8, else null; such files are never searched as text."""
+    """corpus with text: the content where it is valid UTF-8, else null; such files are searched by their bytes."""
     as_text = F.col("content").cast("string")
     return corpus.withColumn("text", F.when(F.is_valid_utf8(as_text), as_text))
 
@@ -138,43 +145,104 @@ def index_summary(judged: DataFrame, content: str = "content") -> DataFrame:
     return judged.groupBy("skip_reason").agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length(content)), F.lit(0)).cast("bigint").alias("bytes"))
 
 
-def shard_bounds(sizes: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
-    """[(first file_idx, shard)] of the greedy fill: a file that would overflow a shard that has bytes starts the next.
+def _next_starts(sizes: np.ndarray, closes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix sums, for each file where the next shard starts if one starts at it; their number where none does).
+
+    closes: a file after which a new shard starts, whatever room is left.
+    """
+    p = np.concatenate([[0], np.cumsum(sizes)])
+    full = np.searchsorted(p, p[:-1] + limit, "right") - 1
+    closing = np.flatnonzero(closes)
+    end = np.append(closing + 1, len(sizes))[np.searchsorted(closing, np.arange(len(sizes)))]
+    return p, np.minimum(full, end)
+
+
+#: Bytes in use that stand for a shard that takes no more.
+CLOSED = 1 << 62
+
+
+def _entry(p: np.ndarray, closes: np.ndarray, limit: int, used: int) -> int:
+    """Where the first shard starts in a run of files after a shard with `used` bytes."""
+    if used >= CLOSED:
+        return 0
+    closing = np.flatnonzero(closes)
+    return min(int(np.searchsorted(p, limit - used, "right")) - 1, int(closing[0]) + 1 if len(closing) else len(p) - 1)
+
+
+def shard_starts(sizes: DataFrame, limit: int, run: int = 1 << 18) -> list[int]:
+    """The first file_idx of each shard of the greedy fill: a file that would overflow a shard that has bytes starts the next.
 
-    sizes: (file_idx, bytes) in order of file_idx.
+    sizes: (file_idx, n, skipped). A skipped file takes no room; one larger than a shard closes the open shard. The fill is
+    sequential, so runs of files (equal ranges of file_idx, about `run` files each if they are numbered densely) are
+    worked off in parallel for every place at which their first shard may start; the driver then follows the runs in order,
+    one look into each one's table, and holds one table at a time. What it keeps is a number per shard.
     """
-    out, shard, used = [], 0, 0
-    for i, n in sizes:
-        if n > limit:
-            raise DocumentTooLarge(f"file {i} has {n} bytes, a shard {limit}")
-        if used and used + n > limit:
-            shard, used = shard + 1, 0
-        if not out or out[-1][1] != shard:
-            out.append((i, shard))
-        used += n
-    return out
-
-
-def assign_shards(corpus: DataFrame, limit: int, content: str = "content", runs: int = 4096) -> DataFrame:
-    """The corpus with shard, by greedy fill in order of file_idx.
-
-    The fill is sequential, so it works on (file_idx, bytes) only. They are streamed to the driver in order, a
-    partition at a time, and only shard starts are kept: one pair per `limit` bytes of corpus.
+    big = F.when(~F.col("skipped") & (F.col("n") > limit), F.col("file_idx"))
+    lo, hi, count, bad = sizes.agg(F.min("file_idx"), F.max("file_idx"), F.count("*"), F.min(big)).first()
+    if bad is not None:
+        raise DocumentTooLarge(f"file {bad} is larger than a shard of {limit} bytes")
+    if not count:
+        return []
+    width = (hi - lo) // max(1, -(-count // run)) + 1
+    dealt = sizes.select("file_idx", F.when(F.col("skipped"), 0).otherwise(F.col("n")).cast("bigint").alias("n"), (F.col("skipped") & (F.col("n") > limit)).alias("closes"), F.floor((F.col("file_idx") - lo) / width).cast("bigint").alias("run"))
+
+    def table(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("file_idx")
+        n, closes = rows["n"].to_numpy(), rows["closes"].to_numpy(bool)
+        p, nxt = _next_starts(n, closes, limit)
+        m = len(n)
+        out = np.empty(m + 1, np.int64)  # bytes in use at the end, if a shard starts at each file
+        for i in range(m - 1, -1, -1):
+            out[i] = out[nxt[i]] if nxt[i] < m else CLOSED if closes[-1] else p[m] - p[i]
+        out[m] = -1
+        last = _entry(p, closes, limit, 0)  # a fuller shard ends sooner
+        return pd.DataFrame({"run": [rows["run"].iloc[0]], "total": [p[m]], "ends": [bool(closes[-1])], "room": [p[1 : last + 1].tobytes()], "out": [out[: last + 1].tobytes()]})
+
+    tables = dealt.groupBy("run").applyInPandas(table, "run bigint, total bigint, ends boolean, room binary, out binary").orderBy("run")
+    used, before = CLOSED, []
+    for r in tables.toLocalIterator():
+        before.append((r["run"], used))
+        room, out = np.frombuffer(r["room"], np.int64), np.frombuffer(r["out"], np.int64)
+        first = 0 if used >= CLOSED else int(np.searchsorted(room, limit - used, "right"))
+        used = int(out[first]) if out[first] >= 0 else CLOSED if r["ends"] else used + r["total"]
+
+    def starts(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("file_idx")
+        ids, closes = rows["file_idx"].to_numpy(), rows["closes"].to_numpy(bool)
+        p, nxt = _next_starts(rows["n"].to_numpy(), closes, limit)
+        at, found = _entry(p, closes, limit, int(rows["used"].iloc[0])), []
+        while at < len(ids):
+            found.append(ids[at])
+            at = int(nxt[at])
+        return pd.DataFrame({"start": np.array(found, np.int64)})
+
+    known = sizes.sparkSession.createDataFrame(before, "run bigint, used bigint")  # a row for each run
+    found = dealt.join(F.broadcast(known), "run").groupBy("run").applyInPandas(starts, "start bigint").collect()
+    return sorted(r[0] for r in found)
+
+
+def assign_shards(corpus: DataFrame, limit: int, content: str = "content", skipped: Column | None = None) -> DataFrame:
+    """The corpus with shard, by greedy fill in order of file_idx. skipped: files that take no room.
+
+    Tasks find a file's shard by a search among the shards' starts, one number per `limit` bytes of corpus.
     """
-    spark = corpus.sparkSession
-    sizes = corpus.select("file_idx", F.octet_length(content).cast("bigint").alias("n")).orderBy("file_idx")
-    starts = shard_bounds(((r[0], r[1] or 0) for r in sizes.toLocalIterator()), limit)
-    if not starts:
-        return corpus.withColumn("shard", F.lit(0).cast("bigint"))
-    if len(starts) <= runs:
-        at = F.lit(starts[0][1])
-        for first, shard in starts[1:]:
-            at = F.when(F.col("file_idx") >= first, shard).otherwise(at)
-        if len(starts) <= 64:
-            return corpus.withColumn("shard", at.cast("bigint"))
-    table = spark.createDataFrame([(a, s, b) for (a, s), b in zip(starts, [x[0] for x in starts[1:]] + [None], strict=True)], "lo bigint, shard bigint, hi bigint")
-    joined = corpus.join(F.broadcast(table) if len(starts) <= runs else table, (F.col("file_idx") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("file_idx") < F.col("hi"))))
-    return joined.select(*corpus.columns, "shard")
+    sizes = corpus.select("file_idx", F.coalesce(F.octet_length(content), F.lit(0)).cast("bigint").alias("n"), (F.lit(False) if skipped is None else F.coalesce(skipped, F.lit(False))).alias("skipped"))
+    starts = np.array(shard_starts(sizes, limit), np.int64)
+    if len(starts) <= 64:
+        at = F.lit(0)
+        for k, first in enumerate(starts[1:].tolist(), 1):
+            at = F.when(F.col("file_idx") >= first, k).otherwise(at)
+        return corpus.withColumn("shard", at.cast("bigint"))
+
+    @F.pandas_udf("bigint")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, ids.to_numpy(), "right") - 1)
+
+    return corpus.withColumn("shard", shard_of("file_idx"))
 
 
 def shard_name(base: str, shard: int, count: int) -> str:

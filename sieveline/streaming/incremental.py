@@ -1,17 +1,17 @@
 """An extension: documents that arrive as a stream are matched or indexed as they come.
 
 matches_stream() is stateless, so it runs on a streaming DataFrame as it does on a table. index_stream() appends each
-micro-batch's postings and contents to an index folder as a shard of its own (the batch's number), written in overwrite
-mode, so a batch that is run again replaces what it wrote.
+micro-batch as an index of its own below a folder (the batch's number), written in overwrite mode, so a batch that is run
+again replaces what it wrote. opened() opens them all as one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import index as ix, search as se
 from ..plans.query import Query
+from ..sources import corpus as source
 
 
 def matches_stream(corpus: DataFrame, query: Query) -> DataFrame:
@@ -21,17 +21,22 @@ def matches_stream(corpus: DataFrame, query: Query) -> DataFrame:
     return se.matches(corpus, query)
 
 
-def index_stream(corpus: DataFrame, folder: str, checkpoint: str, **trigger):
-    """Starts a query that keeps `folder`/shard=N/{contents, postings, tri_stats} for each batch; returns its handle."""
+def index_stream(corpus: DataFrame, folder: str, checkpoint: str, options: source.BuilderOptions = source.BuilderOptions(), **trigger):
+    """Starts a query that keeps `folder`/N, an index, for each batch that holds anything; returns its handle."""
 
     def write(batch: DataFrame, number: int) -> None:
-        docs = batch.select("file_idx", "path", "text").filter(F.col("text").isNotNull()).persist()
-        rows = ix.postings(docs)
-        at = f"{folder}/shard={number}"
-        docs.write.mode("overwrite").parquet(f"{at}/contents")
-        rows.sortWithinPartitions("tri", "file_idx", "pos").write.mode("overwrite").parquet(f"{at}/postings")
-        ix.tri_stats(rows).write.mode("overwrite").parquet(f"{at}/tri_stats")
-        docs.unpersist()
+        if not batch.isEmpty():
+            ix.IndexBuilder(options).build(batch, f"{folder}/{number}")
 
     writer = corpus.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def opened(spark: SparkSession, folder: str) -> ix.Index:
+    """The batches' indexes that are complete, in order, as one."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(at)]
+    done = [n for n in names if n.isdigit() and store.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/metadata/_SUCCESS"))]
+    return ix.Index(spark, [f"{folder}/{n}" for n in sorted(done, key=int)])

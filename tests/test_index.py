@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import globs, ngrams, text as tx
-from sieveline.operators import index as ix, postings as px, search as se
+from sieveline.operators import index as ix, postings as px, results, search as se
 from sieveline.plans import folding, regex as rx
 from sieveline.plans.query import Query, SearchOptions
 from sieveline.sources import corpus as source
@@ -84,10 +86,35 @@ def test_admission(spark):
     assert column(spark, [c for c, _ in cases], "binary", lambda c: source.skip_reason(c, o)) == [r for _, r in cases]
 
 
-def test_shards():
-    assert source.shard_bounds([(0, 60), (1, 30), (2, 20), (3, 100), (4, 1)], 100) == [(0, 0), (2, 1), (3, 2), (4, 3)]
+def greedy(files, limit):
+    """files: (file_idx, bytes, skipped) in order -> shard of each."""
+    out, shard, used, closed = [], 0, 0, False
+    for k, (_, n, skipped) in enumerate(files):
+        n_ = 0 if skipped else n
+        if k and (closed or used and used + n_ > limit):
+            shard, used = shard + 1, 0
+        out.append(shard)
+        used, closed = used + n_, skipped and n > limit
+    return out
+
+
+@pytest.mark.parametrize("run", [1, 3, 1000])
+def test_shards(spark, run, monkeypatch):
+    rng = random.Random(run)
+    starts = source.shard_starts
+    monkeypatch.setattr(source, "shard_starts", lambda sizes, limit: starts(sizes, limit, run))
+    fixed = [(0, 60, False), (1, 30, False), (2, 20, False), (3, 100, False), (4, 1, False), (5, 0, False), (6, 300, True), (7, 5, False), (9, 400, True)]
+    for files, limit in ((fixed, 100), ([(7 + 2 * i, rng.choice([0, 1, 5, 9, 20]), rng.random() < 0.2) for i in range(150)], 20), ([(i, rng.choice([3, 50]), rng.random() < 0.2) for i in range(90) if rng.random() < 0.7], 10)):
+        files = [(i, n, s or n > limit) for i, n, s in files]
+        frame = spark.createDataFrame([(i, "x" * n, s) for i, n, s in files], "file_idx bigint, text string, s boolean")
+        got = {r.file_idx: r.shard for r in source.assign_shards(frame, limit, "text", F.col("s")).collect()}
+        assert [got[i] for i, _, _ in files] == greedy(files, limit)
+    assert source.assign_shards(frame.limit(0), 10, "text").count() == 0
     with pytest.raises(source.DocumentTooLarge):
-        source.shard_bounds([(0, 11), (1, 101)], 100)
+        source.assign_shards(frame, 2, "text")
+
+
+def test_shard_names():
     assert source.shard_name("idx", 0, 1) == "idx" and source.shard_name("idx", 3, 5) == "idx.00003"
 
 
@@ -105,12 +132,12 @@ def test_joins(spark):
 
 
 FILTERS = [
-    ("hello", rx.Contains("hello")),
-    ("foo.*bar", rx.AllOf((rx.Contains("foo"), rx.Contains("bar")))),
-    ("foo|bar", rx.AnyOf((rx.Contains("foo"), rx.Contains("bar")))),
-    ("hello|world|testing", rx.AnyOf(tuple(map(rx.Contains, ("hello", "world", "testing"))))),
-    ("a.*b", rx.ANYTHING), ("[a-z]+", rx.ANYTHING), (".*", rx.ANYTHING), ("foo?", rx.ANYTHING), ("(abc)*", rx.ANYTHING), ("(abc)+", rx.Contains("abc")),
-    ("|".join(f"word{i}" for i in range(17)), rx.ANYTHING), ("foo|a", rx.ANYTHING),
+    ("sluice", rx.Contains("sluice")),
+    ("dam.*weir", rx.AllOf((rx.Contains("dam"), rx.Contains("weir")))),
+    ("dam|weir", rx.AnyOf((rx.Contains("dam"), rx.Contains("weir")))),
+    ("brook|river|stream", rx.AnyOf(tuple(map(rx.Contains, ("brook", "river", "stream"))))),
+    ("d.*w", rx.ANYTHING), ("[k-m]+", rx.ANYTHING), (".*", rx.ANYTHING), ("dam?", rx.ANYTHING), ("(ebb)*", rx.ANYTHING), ("(ebb)+", rx.Contains("ebb")),
+    ("|".join(f"word{i}" for i in range(17)), rx.ANYTHING), ("dam|w", rx.ANYTHING),
 ]
 
 
@@ -124,6 +151,34 @@ def test_lowered():
     assert rx.lowered(rx.ANYTHING) is rx.ANYTHING
 
 
+def test_index_of_any_bytes(spark, tmp_path):
+    """Files that are no UTF-8 are indexed and found by literals; no case of a letter is lost to the postings."""
+    files = [("a.txt", b"caf\xe9 Kelvin bytes\nand Kelvin"), ("b.txt", "\u212aelvin scale"), ("c.txt", b"\xff\xfe\xfd"), ("d.txt", "kelvin \u017faddle saddle"), ("e.txt", b"\xc3\xa9t\xc3\xa9 \xe9")]
+    done = ix.IndexBuilder().build(source.from_rows(spark, files), str(tmp_path / "i"))
+    assert {r.skip_reason: r.files for r in done.collect()} == {"None": 5}
+    index = ix.Index(spark, [str(tmp_path / "i")])
+    assert index.file_count() == 5 and index.content(0) == files[0][1] and index.file_entry(0).newlines == [17] and index.file_entry(0).content_length == 28
+    hits = lambda p, r=False, cs=True: sorted((r.file_idx, r.byte_offset, r.byte_length, r.line_number) for r in px.search(index, Query(p, r, SearchOptions(case_sensitive=cs))).collect())
+    scan = lambda p, r=False, cs=True: sorted((r.file_idx, r.byte_offset, r.byte_length, r.line_number) for r in se.matches(source.from_rows(spark, files), Query(p, r, SearchOptions(case_sensitive=cs))).collect())
+    for p in ("Kelvin", "kelvin", "bytes", "saddle", "été", "fd", "\ufffd\ufffd\ufffd", "alpha"):
+        for cs in (True, False):
+            assert hits(p, False, cs) == scan(p, False, cs), (p, cs)
+    for p in ("kel[a-z]+", "sad+le", "(kelvin|scale) s"):
+        for cs in (True, False):
+            assert hits(p, True, cs) == scan(p, True, cs), (p, cs)
+    assert hits("Kelvin") == [(0, 5, 6, 1), (0, 22, 6, 2)] and hits("été") == [(4, 0, 5, None)]
+    assert [x[0] for x in hits("kelvin", cs=False)] == [0, 0, 1, 3] and hits("kelvin", True, False) == hits("kelvin", cs=False)
+    lines = [r.rendered for r in results.match_lines(px.narrowed(index, Query("Kelvin")), Query("Kelvin")).orderBy("byte_offset").collect()]
+    assert lines == ["a.txt:1:<binary>", "a.txt:2:<binary>"]
+    c = index.counters().first()
+    assert c.posting_count == sum(max(0, len(b.decode("utf-8", "replace") if isinstance(b, bytes) else b) - 2) for _, b in files) and c.ngram_count <= c.posting_count <= c.posting_bytes
+
+
+def test_long_conversations(spark, tmp_path):
+    spark.createDataFrame([(1, 1000, "u", "ebb"), (2, 0, "u", "ebb")], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert source.load(spark, str(tmp_path), "conversations").select("file_idx").distinct().count() == 2
+
+
 FILES = [("a.rs", "fn main() { println!(\"hello\"); }\nlet x = 1;\n"), ("b.rs", "hello there hello"), ("c.txt", "There are no theres, said the reader\nhello"), ("d.bin", b"\0\1\2\3"), ("e.txt", "é néédlé hello É"), ("f.txt", "x")]
 QUERIES = [("hello", False), ("there", False), ("he", False), ("néédlé", False), ("zzz", False), (r"println!\(.*\)", True), ("the(re|m)", True), ("[a-z]+o", True), ("hello", True)]
 

@@ -10,7 +10,7 @@ from sieveline.operators import results, search as se
 from sieveline.plans.query import InvalidPattern, Query, SearchOptions, UnsupportedRegex
 from sieveline.sources import corpus as source
 
-CJK = "你好世界"
+KANA = "さくらんぼ"
 
 
 def run(spark, files, pattern, is_regex=False, **options):
@@ -24,21 +24,20 @@ def ci(spark, files, pattern, is_regex=False):
 
 
 LITERAL = [
-    (["hello world"], "world", [(0, 6, 5)]),
-    (["abc abc abc"], "abc", [(0, 0, 3), (0, 4, 3), (0, 8, 3)]),
-    (["hello world", "goodbye world"], "world", [(0, 6, 5), (1, 8, 5)]),
-    (["hello world"], "xyz", []),
-    (['fn main() { println!("Hello"); }'], "println", [(0, 12, 7)]),
-    (["ab ab ab"], "ab", [(0, 0, 2), (0, 3, 2), (0, 6, 2)]),
-    (["x the", "reader"], "there", []),
-    (["to carry water in the"], "water", [(0, 9, 5)]),
-    (["abc", "abc"], "abc", [(0, 0, 3), (1, 0, 3)]),
-    (["aaaa"], "aaa", [(0, 0, 3), (0, 1, 3)]),
-    ([CJK, "hello world"], "世界", [(0, 6, 6)]),
-    (["hay néédlÉ hay"], "néédlÉ", [(0, 4, 9)]),
-    ([r"a\Eb \E"], r"\E", [(0, 1, 2), (0, 5, 2)]),
-    (["a.c abc"], "a.c", [(0, 0, 3)]),
-    (["", "a"], "a", [(1, 0, 1)]),
+    (["over the weir"], "weir", [(0, 9, 4)]),
+    (["tic tac tic"], "tic", [(0, 0, 3), (0, 8, 3)]),
+    (["salt and pepper", "more salt"], "salt", [(0, 0, 4), (1, 5, 4)]),
+    (["salt"], "malt", []),
+    (['let y = sum("q");'], 'sum("', [(0, 8, 5)]),
+    (["mu, mu"], "mu", [(0, 0, 2), (0, 4, 2)]),
+    (["end of sto", "ry here"], "story", []),
+    (["tin", "tin"], "tin", [(0, 0, 3), (1, 0, 3)]),
+    (["mmmm"], "mmm", [(0, 0, 3), (0, 1, 3)]),
+    ([KANA, "plum"], "らん", [(0, 6, 6)]),
+    (["un œuf brouillé"], "œuf b", [(0, 3, 6)]),
+    ([r"q\Er \E"], r"\E", [(0, 1, 2), (0, 5, 2)]),
+    (["1+1 111"], "1+1", [(0, 0, 3)]),
+    (["", "z"], "z", [(1, 0, 1)]),
 ]
 
 
@@ -48,14 +47,12 @@ def test_literal(spark, files, pattern, want):
 
 
 CASE = [
-    (["Hello World HELLO hello"], "hello", [0, 12, 18]),
-    (["Hello World"], "xyz", []),
-    (["Ab aB AB ab"], "ab", [0, 3, 6, 9]),
-    (["Hello HELLO hello hElLo"], "hello", [0, 6, 12, 18]),
-    (["I love BaNaNAS"], "bananas", [7]),
-    (["hay néédlé hay"], "NÉÉDLÉ", [4]),
-    (["É é"], "é", [0, 3]),
-    (["aAaA"], "aaa", [0, 1]),
+    (["Moss MOSS mOsS peat"], "moss", [0, 5, 10]),
+    (["Moss"], "peat", []),
+    (["No nO NO on"], "no", [0, 3, 6]),
+    (["Der ÄRGER, der ärger"], "Ärger", [4, 16]),
+    (["Ж ж"], "ж", [0, 3]),
+    (["mMmM"], "mmm", [0, 1]),
 ]
 
 
@@ -65,26 +62,26 @@ def test_either_case(spark, files, pattern, want):
 
 
 REGEX = [
-    (["hello world"], "hello|world", [(0, 0, 5), (0, 6, 5)]),
-    (["hello world"], "hel.*rld", [(0, 0, 11)]),
-    (["hello world"], "[hw]orld", [(0, 6, 5)]),
-    (["hello world"], "xyz+", []),
-    (["foo bar baz", "hello world", "foo world"], "foo|world", [(0, 0, 3), (1, 6, 5), (2, 0, 3), (2, 4, 5)]),
-    ([r"abc 12345 xyz 67 end"], r"\d+", [(0, 4, 5), (0, 14, 2)]),
-    (["foooo bar fooo baz"], "fo{2,}", [(0, 0, 5), (0, 10, 4)]),
-    (["hello world\nhello again"], "^hello", [(0, 0, 5)]),
-    (["hello world\nhello again"], "(?m)^hello", [(0, 0, 5), (0, 12, 5)]),
-    (["needleblabla"], "dle.*bla", [(0, 3, 9)]),
-    (["blaneedle"], "dle.*bla", []),
-    (["BLABLABLA"], "[xb][xl][xa]", []),
-    (["xfooy", "xbarbazy"], "x(foo|barbaz)y", [(0, 0, 5), (1, 0, 8)]),
-    (["aaaa"], "aaa", [(0, 0, 3), (0, 1, 3)]),
-    (["hello"], ".*", [(0, 0, 5)]),
-    (["a\rb"], "a.b", [(0, 0, 3)]),
-    (["end\n"], "end$", []),
+    (["peat moss"], "moss|peat", [(0, 0, 4), (0, 5, 4)]),
+    (["peat moss"], "p.*m", [(0, 0, 6)]),
+    (["peat moss"], "[lm]oss", [(0, 5, 4)]),
+    (["peat moss"], "zz+", []),
+    (["rye oats", "wheat", "rye wheat"], "rye|wheat", [(0, 0, 3), (1, 0, 5), (2, 0, 3), (2, 4, 5)]),
+    (["on 7 of 365 days"], r"\d+", [(0, 3, 1), (0, 8, 3)]),
+    (["buzzzz fizz buz"], "z{2,}", [(0, 2, 4), (0, 9, 2)]),
+    (["rye bread\nrye whisky"], "^rye", [(0, 0, 3)]),
+    (["rye bread\nrye whisky"], "(?m)^rye", [(0, 0, 3), (0, 10, 3)]),
+    (["lampshade"], "amp.*de", [(0, 1, 8)]),
+    (["shadelamp"], "amp.*de", []),
+    (["TRALALA"], "[ty][rl][ax]", []),
+    (["qinnq", "qtavernaq"], "q(inn|taverna)q", [(0, 0, 5), (1, 0, 9)]),
+    (["mmmm"], "mmm", [(0, 0, 3), (0, 1, 3)]),
+    (["a line"], ".*", [(0, 0, 6)]),
+    (["u\rv"], "u.v", [(0, 0, 3)]),
+    (["stop\n"], "stop$", []),
     (["٣ x"], r"\d", [(0, 0, 2)]),
     (["né e"], r"\bn\w+", [(0, 0, 3)]),
-    (["ab"], "x*", [(0, 0, 0), (0, 1, 0), (0, 2, 0)]),
+    (["uv"], "x*", [(0, 0, 0), (0, 1, 0), (0, 2, 0)]),
 ]
 
 
@@ -94,8 +91,8 @@ def test_regex(spark, files, pattern, want):
 
 
 def test_regex_either_case(spark):
-    assert len(ci(spark, ["func ServeGitiles() {}\nfunc serveGITILES() {}"], "func.*Gitiles", True)) == 2
-    assert len(ci(spark, ["Hello World HELLO"], "hello", True)) == 2
+    assert len(ci(spark, ["def BakeBread():\ndef bakeBREAD():"], "def .*Bread", True)) == 2
+    assert len(ci(spark, ["Peat moss PEAT"], "peat", True)) == 2
     assert ci(spark, ["ı İ i I"], "i", True) == [(0, 6, 1), (0, 8, 1)]
 
 
@@ -117,27 +114,27 @@ def test_empty_pattern():
 
 
 def test_limits_and_paths(spark):
-    assert run(spark, ["abc abc abc", "abc abc abc"], "abc", max_matches=2) == [(0, 0, 3), (0, 4, 3)]
-    assert run(spark, ["near nea"] * 20 + ["needle"], "needle", max_matches=1) == [(20, 0, 6)]
-    files = [("src/main.rs", "fn main() { hello() }"), ("src/lib.rs", "fn hello() {}"), ("README.md", "hello world")]
+    assert run(spark, ["tic tic tic", "tic tic tic"], "tic", max_matches=2) == [(0, 0, 3), (0, 4, 3)]
+    assert run(spark, ["har arp hap"] * 20 + ["harp"], "harp", max_matches=1) == [(20, 0, 4)]
+    files = [("code/one.py", "def bake(): pass"), ("code/two.py", "bake()"), ("NOTES", "how to bake")]
     for is_regex in (False, True):
-        assert [x[0] for x in run(spark, files, "hello", is_regex, file_pattern="*.rs")] == [0, 1]
-    assert run(spark, [], "anything") == []
-    assert len(run(spark, ["needle_here\n" * 100], "needle_here")) == 100
+        assert [x[0] for x in run(spark, files, "bake", is_regex, file_pattern="*.py")] == [0, 1]
+    assert run(spark, [], "bake") == []
+    assert len(run(spark, ["oats_and_rye\n" * 100], "oats_and_rye")) == 100
 
 
 def test_lines(spark):
-    c = source.from_rows(spark, [("a", "line1\nline2\nline3"), ("b", "one line, ne2")])
-    rows = {(r.file_idx, r.byte_offset, r.line_number) for r in se.search_literal(c, "ne2").collect()}
-    assert rows == {(0, 8, 2), (1, 10, None)}
+    c = source.from_rows(spark, [("a", "rye\noats rye\nbarley"), ("b", "just oats")])
+    rows = {(r.file_idx, r.byte_offset, r.line_number) for r in se.search_literal(c, "oats").collect()}
+    assert rows == {(0, 4, 2), (1, 5, None)}
     assert [r.line_number for r in se.search_literal(c, "\n").orderBy("byte_offset").collect()] == [1, 2]
 
 
 CONTEXT = [
-    ("line1\nline2\nline3 match\nline4\nline5", "match", 1, "line3 match", ["line2"], ["line4"]),
-    ("match here\nline2\nline3", "match", 2, "match here", [], ["line2", "line3"]),
-    ("line1\nline2\nmatch here", "match", 2, "match here", ["line1", "line2"], []),
-    ("line1\r\nmatch\r\nline3\r\n", "match", 5, "match", ["line1"], ["line3"]),
+    ("one\ntwo\nthree owls\nfour\nfive", "owl", 1, "three owls", ["two"], ["four"]),
+    ("an owl\ntwo\nthree", "owl", 2, "an owl", [], ["two", "three"]),
+    ("one\ntwo\nan owl", "owl", 2, "an owl", ["one", "two"], []),
+    ("one\r\nowl\r\nthree\r\n", "owl", 5, "owl", ["one"], ["three"]),
 ]
 
 
@@ -158,10 +155,12 @@ def test_rendering(spark):
 
 
 def test_invalid_utf8(spark):
-    c = source.from_rows(spark, [("a", b"\xff abc"), ("b", b"abc")])
-    m = se.search_literal(c, "abc")
-    assert [r.file_idx for r in m.collect()] == [1]
-    assert results.binary_lines(c, spark.createDataFrame([(0, 2, 3, None)], m.schema)).first().rendered == "a:0:<binary>"
+    """Literals are found in any bytes, regular expressions in text only."""
+    c = source.from_rows(spark, [("a", b"\xff rye\nRYE \xfe\nrye"), ("b", b"rye"), ("c", b"\xe9")])
+    assert sorted(map(tuple, se.search_literal(c, "rye").collect())) == [(0, 2, 3, 1), (0, 12, 3, 3), (1, 0, 3, None)]
+    assert [r.byte_offset for r in se.search_literal(c, "rye", case_sensitive=False).filter("file_idx = 0").orderBy("byte_offset").collect()] == [2, 6, 12]
+    assert [r.file_idx for r in se.search_regex(c, "ry.").collect()] == [1]
+    assert sorted(r.rendered for r in results.match_lines(c, Query("rye")).collect()) == ["a:1:<binary>", "a:3:<binary>", "b:0:rye"]
 
 
 def test_against_python(spark):
@@ -176,9 +175,9 @@ def test_against_python(spark):
 
 def test_prefilter_loses_nothing(spark):
     rng = random.Random(6)
-    texts = [" ".join(rng.choice(["foo", "barbaz", "Foo", "bar", "xfooy", "ſoon", "soon"]) for _ in range(6)) for _ in range(40)]
+    texts = [" ".join(rng.choice(["inn", "taverna", "Inn", "tavern", "qinnq", "ſoon", "soon"]) for _ in range(6)) for _ in range(40)]
     c = source.from_rows(spark, [(str(i), t) for i, t in enumerate(texts)])
-    for pattern in ("x(foo|barbaz)y", "foo.*barbaz", "(foo|barbaz) xfoo", "soon"):
+    for pattern in ("q(inn|taverna)q", "inn.*taverna", "(inn|taverna) qinn", "soon"):
         for cs in (True, False):
             q = Query(pattern, True, SearchOptions(case_sensitive=cs))
             assert sorted(se.matches(c, q).collect()) == sorted(se.matches(c, q, prefilter=False).collect())
