@@ -5,13 +5,19 @@ have |q' - x'|^2 = |q|^2 + M^2 - 2 <q, x>. Every vector is keyed by its nearest
 vectors of a pivot, sorted by distance, are cut into annuli, and large annuli into blocks of about `rows` vectors. For
 an annulus at distances [lo, hi] of pivot p the triangle inequality bounds |q' - x'| below by d(q', p) - hi and
 lo - d(q', p), so <q, x> from above. A query first searches the `first` annuli with the best bounds, which gives it
-a k-th score; then every other annulus whose bound reaches that score; the rest cannot hold a result. Scores are
-exact integers. Pivots are a sample of `pivots` vectors; any sample gives the same results.
+a k-th score; then every other annulus whose bound reaches that score; the rest cannot hold a result. Pivots are a
+sample of `pivots` vectors; any sample gives the same results. How much is pruned is a matter of the data: where all
+vectors are nearly at right angles, no bound excludes anything, and every query meets every block.
 
-Blocks are matrices of bounded size: a task holds one block and streams the queries that need it, so neither many
-queries nor thousands of equal vectors meet in one task. Nothing but pivots and the largest norm reaches the driver.
+Blocks are matrices of bounded size: a task holds one block and streams the queries that need it, `queries` of them at
+most, so neither many queries nor thousands of equal vectors meet in one task. Nothing but pivots and the largest norm
+reaches the driver.
 
-Nulls and edges: vectors that are null or hold a null, NaN or infinite component take no part, nor do null ids.
+Scores are exact integers: sums of doubles where they stay below 2 ** 53, and of Python's integers beyond; a score that a
+long cannot hold becomes the nearest long.
+
+Nulls and edges: vectors that are null or hold a null, NaN or infinite component take no part, nor do null ids. An empty
+table gives no rows. A very long vector is a row of a matrix of its own length.
 Vectors are compared with those of their own length only. Rows that repeat an id are candidates each, but never for
 a query of that id; a repeated query is answered once. Ties go to the smaller id.
 """
@@ -32,7 +38,7 @@ SLACK = 1e-9
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(id, dim, v, norm2) of the vectors that take part; v: the components floor(scale * x), as int64 bytes."""
+    """(id, dim, v, norm2) of the vectors that take part; v: the components floor(scale * x), as float64 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -43,26 +49,26 @@ def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> Da
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(x).all():
                     ids.append(i)
-                    out.append(np.floor(scale * x).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in out], pa.int32()), pa.array([x.tobytes() for x in out], pa.binary()), pa.array([int(x @ x) for x in out], pa.int64())], ["id", "dim", "v", "norm2"])
+                    out.append(np.floor(scale * x))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in out], pa.int32()), pa.array([x.tobytes() for x in out], pa.binary()), pa.array([float(x @ x) for x in out], pa.float64())], ["id", "dim", "v", "norm2"])
 
-    return vectors.select(F.col(vec_id).cast("long"), F.col(embedding)).mapInArrow(run, "id long, dim int, v binary, norm2 long")
+    return vectors.select(F.col(vec_id).cast("long"), F.col(embedding)).mapInArrow(run, "id long, dim int, v binary, norm2 double")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.int64).reshape(len(column), dim).astype(np.float64)
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.float64).reshape(len(column), dim)
 
 
 class Pivots:
     """Per dimension: pivots in the lifted space and the largest squared norm."""
 
-    def __init__(self, rows: list[tuple[int, bytes, int]], top: dict[int, int]):
+    def __init__(self, rows: list[tuple[int, bytes, float]], top: dict[int, float]):
         self.top = top
         self.at: dict[int, np.ndarray] = {}
         for dim in top:
             mine = [r for r in rows if r[0] == dim]
-            x = np.stack([np.frombuffer(r[1], np.int64) for r in mine]).astype(np.float64).reshape(len(mine), dim)
-            self.at[dim] = np.column_stack([x, np.sqrt([top[dim] - r[2] for r in mine])])
+            x = np.stack([np.frombuffer(r[1], np.float64) for r in mine]).reshape(len(mine), dim)
+            self.at[dim] = np.column_stack([x, np.sqrt([max(0.0, top[dim] - r[2]) for r in mine])])
 
     def distances(self, dim: int, x: np.ndarray, lift: np.ndarray) -> np.ndarray:
         p = self.at[dim]
@@ -101,14 +107,22 @@ def _reach(pivots: Pivots):
     return run
 
 
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products, exact, at the bounds of a long beyond them; int64."""
+    if not q.size or not x.size or float((q**2).sum(1).max()) ** 0.5 * float((x**2).sum(1).max()) ** 0.5 < 2**52:
+        return (q @ x.T).astype(np.int64)
+    whole = lambda m: np.array([[int(v) for v in row] for row in m.tolist()], object)
+    return np.array([[max(-(1 << 63), min((1 << 63) - 1, s)) for s in row] for row in whole(q) @ whole(x).T], np.int64)
+
+
 def _search(k: int, chunk: int = 256):
-    """Rows sorted by (block, role): a block's vectors, then its queries -> the block's k best for each query."""
+    """Rows sorted by (block, copy, role): a block's vectors, then its queries -> the block's k best for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, parts, x = None, [], [], None
         for b in batches:
-            name = b.column(0).to_pylist()
-            role = b.column(1).to_numpy(zero_copy_only=False)
+            name = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            role = b.column(2).to_numpy(zero_copy_only=False)
             edge = [0, *(i for i in range(1, len(name)) if name[i] != name[i - 1] or role[i] != role[i - 1]), len(name)]
             for s, e in zip(edge[:-1], edge[1:], strict=True):
                 if s == e:
@@ -117,8 +131,8 @@ def _search(k: int, chunk: int = 256):
                 if name[s] != block:
                     block, ids, parts, x = name[s], [], [], None
                 if role[s] == 0:
-                    ids.append(part.column(2).to_numpy())
-                    parts.append(_matrix(part.column(4), part.column(3)[0].as_py()))
+                    ids.append(part.column(3).to_numpy())
+                    parts.append(_matrix(part.column(5), part.column(4)[0].as_py()))
                     continue
                 if not ids:
                     continue
@@ -128,13 +142,13 @@ def _search(k: int, chunk: int = 256):
                     own, x = own[order], np.concatenate(parts)[order]
                 for i in range(0, part.num_rows, chunk):
                     q = part.slice(i, chunk)
-                    qid = q.column(2).to_numpy()
-                    score = _matrix(q.column(4), x.shape[1]) @ x.T  # integers below 2 ** 53
-                    score[qid[:, None] == own[None, :]] = -np.inf
-                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ties: smaller ids first
+                    qid = q.column(3).to_numpy()
+                    score = _scores(_matrix(q.column(5), x.shape[1]), x)
+                    self_ = qid[:, None] == own[None, :]
+                    best = np.lexsort((np.broadcast_to(own, score.shape), ~score, self_), axis=1)[:, :k]  # ~ turns the order; ties: smaller ids first
                     value = np.take_along_axis(score, best, 1)
-                    keep = np.isfinite(value).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best.shape[1])[keep]), pa.array(own[best].ravel()[keep]), pa.array(value.ravel()[keep].astype(np.int64))], ["query_id", "vec_id", "score"])
+                    keep = ~np.take_along_axis(self_, best, 1).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best.shape[1])[keep]), pa.array(own[best].ravel()[keep]), pa.array(value.ravel()[keep])], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -144,7 +158,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256, pivots: int = 32, rows: int = 2048, rings: int = 16, first: int = 2) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256, pivots: int = 32, rows: int = 2048, rings: int = 16, first: int = 2, queries: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors of largest inner product with each row for which is_query holds.
 
     is_query: a column over vec_id.
@@ -164,19 +178,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     block = lambda part: F.concat_ws("/", "dim", "pivot", "ring", part)
     stored = keyed.join(annuli.select("dim", "pivot", "ring", "parts"), ["dim", "pivot", "ring"]).select(block(F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), F.lit(0).alias("role"), "id", "dim", "v")
     stored = scratch.save(stored, "stored")
+    most = queries
     named = base.withColumnRenamed("id", vec_id).filter(is_query).withColumnRenamed(vec_id, "id")
     queries = scratch.save(named.dropDuplicates(["id"]), "queries")
     tops = F.create_map(*[F.lit(x) for d, m in top.items() for x in (d, float(m))])
     far = F.greatest(F.lit(0.0), F.col("dq") - F.col("hi"), F.col("lo") - F.col("dq")) * (1 - SLACK)
     bound = ((F.col("q2") + tops[F.col("dim")] - far * far) / 2) * (1 + SLACK) + 1e-3
-    reach = queries.mapInArrow(_reach(model), "q long, dim int, q2 long, pivot int, dq double")
+    reach = queries.mapInArrow(_reach(model), "q long, dim int, q2 double, pivot int, dq double")
     needs = reach.join(annuli, ["dim", "pivot"]).select("q", "dim", "pivot", "ring", "parts", bound.alias("bound"))
     needs = needs.withColumn("turn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "pivot", "ring")))
     needs = scratch.save(needs, "needs")
 
     def look(wanted: DataFrame) -> DataFrame:
-        asked = wanted.join(queries.select(F.col("id").alias("q"), "v"), "q").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), block)).alias("block"), F.lit(1).alias("role"), F.col("q").alias("id"), "dim", "v")
-        dealt = stored.unionByName(asked).repartition("block").sortWithinPartitions("block", "role")
+        # a block that many queries need is copied, and each copy gets about `most` of them
+        times = wanted.groupBy("dim", "pivot", "ring").agg(F.ceil(F.count("*") / most).cast("int").alias("copies"))
+        asked = wanted.join(times, ["dim", "pivot", "ring"]).join(queries.select(F.col("id").alias("q"), "v"), "q")
+        copy = F.pmod(F.xxhash64("q"), F.col("copies")).cast("int")
+        asked = asked.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), block)).alias("block"), copy.alias("copy"), F.lit(1).alias("role"), F.col("q").alias("id"), "dim", "v")
+        spread = annuli.join(times, ["dim", "pivot", "ring"]).select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), block)).alias("block"), "copies")
+        copied = stored.join(spread, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "role", "id", "dim", "v")
+        dealt = copied.unionByName(asked).repartition("block", "copy").sortWithinPartitions("block", "copy", "role")
         return dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long")
 
     near = scratch.save(_best(look(needs.filter(F.col("turn") <= first)), k), "first")

@@ -144,13 +144,14 @@ def test_topk(spark):
     base = rng.normal(0, 0.2, (700, 12)) + rng.normal(0, 0.3, (7, 12)).repeat(100, 0)
     base[200:400] = base[0]  # a common vector, so ties
     vectors = [(i, v.tolist()) for i, v in enumerate(base.astype(np.float32))]
-    vectors += [(1000, None), (1050, [1.0] * 11 + [None]), (1100, [float("nan")] * 12), (1150, [float("inf")] * 12), (1200, [0.5, 0.5]), (1201, [0.25, 0.5]), (None, [0.1] * 12), (3, [0.9] * 12)]
-    got = topk.search(spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 50 == 0, rows=64, pivots=8).collect()
+    vectors += [(1000, None), (1050, [1.0] * 11 + [None]), (1100, [float("nan")] * 12), (1150, [float("inf")] * 12), (1200, [0.5, 0.5]), (1201, [0.25, 0.5]), (None, [0.1] * 12), (3, [0.9] * 12), (1250, []), (1300, [1e30] * 12), (1301, [-1e30] * 12), (1302, [3e7] * 12)]
+    got = topk.search(spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 50 == 0, rows=64, pivots=8, queries=3).collect()
     live = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = []
     for q, x in live:
         if q % 50 == 0:
-            score = sorted(((-int(x @ y), i) for i, y in live if i != q and len(y) == len(x)))[:5]
+            exact = lambda x, y: max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(x, y, strict=True))))
+            score = sorted(((-exact(x, y), i) for i, y in live if i != q and len(y) == len(x)))[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(score)]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
