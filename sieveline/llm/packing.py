@@ -57,6 +57,21 @@ def price(duals: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), count
 
 
+def _inverted(basis: np.ndarray) -> np.ndarray:
+    """By elimination with row exchanges, free of library threads that wait for each other."""
+    n = len(basis)
+    w = np.hstack([basis, np.eye(n)])
+    for c in range(n):
+        r = c + int(np.argmax(np.abs(w[c:, c])))
+        if r != c:
+            w[[c, r]] = w[[r, c]]
+        w[c] /= w[c, c]
+        f = w[:, c].copy()
+        f[c] = 0
+        w -= f[:, None] * w[c]
+    return w[:, n:]
+
+
 def solve(demand: np.ndarray, rounds: int = 4000, gap: float = 3e-4) -> list[tuple[np.ndarray, float]]:
     """[(pattern, uses)] of the linear program: fewest bins of len(demand) units for demand[c - 1] items of size c."""
     cap = len(demand)
@@ -88,7 +103,7 @@ def solve(demand: np.ndarray, rounds: int = 4000, gap: float = 3e-4) -> list[tup
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
         if k % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverted(basis)
     found = []
     for j in np.flatnonzero(x > 1e-9):
         full = np.zeros(cap, np.int64)
