@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import blocks, with_columns
+from .common import TOKEN_BLOCK_BYTES, blocks, with_columns
 from .spans import Chunks, cuts, whole
 
 NONE = np.int64(1 << 40)
@@ -194,7 +194,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, column: str, fields: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         own = codec(path, pattern)
-        for b, data, off in blocks(batches, "last"):
+        for b, data, off in blocks(batches, "last", TOKEN_BLOCK_BYTES):
             yield [*b.columns[:-1], *make(own, data, off)]
 
     return with_columns(docs, names, column, run, fields)

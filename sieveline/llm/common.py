@@ -6,6 +6,7 @@ the next. All hashes are 64-bit, fixed by the splitmix64 rule below, and the sam
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -17,8 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Python slices of an Arrow batch hold about this many bytes of text, whatever the batch holds.
-BLOCK_BYTES = 4 << 20
+#: Python slices of an Arrow batch hold about this many bytes of text, whatever the batch holds; numpy needs about 40 a byte.
+BLOCK_BYTES = 1 << 20
+#: The same for tokenizers, which look at each distinct chunk of a slice once.
+TOKEN_BLOCK_BYTES = 2 << 20
+#: Bytes of input after which a task gives free memory back.
+RELEASE_BYTES = 8 << 20
+#: Spark's limit of an Arrow batch while a table is written: both sides hold a batch or two whole.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 #: The six ASCII white-space characters, as a Spark character list and as a Java pattern.
 SPACES = " \t\n\x0b\x0c\r"
@@ -49,7 +56,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.dir}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(BATCH_KEY, None)
+        self.spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(BATCH_KEY) if before is None else self.spark.conf.set(BATCH_KEY, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -75,6 +87,36 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def release() -> None:
+    """Gives free memory back to the system: Arrow's pool and, where the C library can, the heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def frugal(run: Callable) -> Callable:
+    """run, for mapInArrow: releases memory as it goes and when it ends, for workers live on beside the next stages."""
+
+    def metered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = 0
+        for b in batches:
+            taken += b.nbytes
+            yield b
+            if taken >= RELEASE_BYTES:
+                taken = 0
+                release()
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(metered(batches))
+        finally:
+            release()
+
+    return all_of
+
+
 def with_columns(docs: DataFrame, held: list[str], column: str, run: Callable, fields: list[T.StructField]) -> DataFrame:
     """docs.mapInArrow(run) of the columns `held` and fields, whatever their names are.
 
@@ -90,7 +132,7 @@ def with_columns(docs: DataFrame, held: list[str], column: str, run: Callable, f
         for columns in run(batches):
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return own.mapInArrow(renamed, T.StructType([*kinds, *more])).toDF(*held, *(f.name for f in fields))
+    return own.mapInArrow(frugal(renamed), T.StructType([*kinds, *more])).toDF(*held, *(f.name for f in fields))
 
 
 def fence(x: Column) -> Column:

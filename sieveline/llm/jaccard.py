@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Scratch, blocks, split_by_ids, splitmix, word_hashes
+from .common import BLOCK_BYTES, Scratch, blocks, frugal, split_by_ids, splitmix, word_hashes
 from .graph import components
 
 #: Counters of the sketch for each document, and the bounds of their number, a power of two.
@@ -137,7 +137,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _levels(scan: DataFrame, cells: int) -> np.ndarray:
     """0 for shingles as rare as most, more by 1 for each doubling beyond them; a byte a counter."""
-    rows = scan.filter("kind >= 0").select("kind", "blob").repartition(F.col("kind")).mapInArrow(_sum_chunks, "kind int, blob binary").collect()  # 4 bytes a counter at most
+    rows = scan.filter("kind >= 0").select("kind", "blob").repartition(F.col("kind")).mapInArrow(frugal(_sum_chunks), "kind int, blob binary").collect()  # 4 bytes a counter at most
     count = np.zeros(cells, np.float64)
     for r in rows:
         count[r["kind"] * CHUNK : (r["kind"] + 1) * CHUNK] = _unpacked(bytes(r["blob"]))
@@ -329,11 +329,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scrat
     placed = scratch.save(pairs.join(family, F.col("a") == F.col("i")).select("label", block("a").alias("x"), block("b").alias("y"), "a", "b"), f"{name}-units")
     wanted = placed.select("label", "x", "y", F.explode(F.array("a", "b")).alias("i")).distinct()
     touched, _ = split_by_ids(docs, "doc_id", placed.select(F.explode(F.array("a", "b")).alias("i")).distinct())
-    packed = touched.select("doc_id", "text").mapInArrow(_deflated, "doc_id long, packed binary")  # texts move twice
+    packed = touched.select("doc_id", "text").mapInArrow(frugal(_deflated), "doc_id long, packed binary")  # texts move twice
     texts = packed.join(wanted, F.col("doc_id") == F.col("i")).select("label", "x", "y", F.lit(0).alias("role"), F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "packed")
     rows = texts.unionByName(placed.select("label", "x", "y", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("binary").alias("packed")))
     dealt = rows.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y", "role")
-    return scratch.save(dealt.mapInArrow(_links(width, percent), "a long, b long").distinct(), f"{name}-links")
+    return scratch.save(dealt.mapInArrow(frugal(_links(width, percent)), "a long, b long").distinct(), f"{name}-links")
 
 
 # ---------------------------------------------------------------- tiles
@@ -451,7 +451,7 @@ def _tiled(rows: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFr
     placed = rows.withColumn("_b", band).withColumn("_s", salt).select("key", "doc", "n", "comp", F.explode(F.when(F.col("g") == 1, one).otherwise(many)).alias("t"))
     placed = placed.join(bits, placed.doc == bits.id).select("key", "t.band", "t.x", "t.y", "t.role", "doc", "n", "comp", "bits")
     dealt = placed.repartition("key", "band", "x", "y").sortWithinPartitions("key", "band", "x", "y", "role")
-    return dealt.mapInArrow(_tile(percent, best), "a long, b long, key long").distinct()
+    return dealt.mapInArrow(frugal(_tile(percent, best)), "a long, b long, key long").distinct()
 
 
 # ---------------------------------------------------------------- the join
@@ -465,14 +465,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     kind = docs.schema[doc_id].dataType
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     cells = min(MAX_SKETCH, max(MIN_SKETCH, 1 << (CELLS_A_DOC * docs.count()).bit_length()))
-    scan = scratch.save(docs.mapInArrow(_scan(width, cells), "kind int, doc_id long, n long, d1 long, d2 long, blob binary"), "scan")
+    scan = scratch.save(docs.mapInArrow(frugal(_scan(width, cells)), "kind int, doc_id long, n long, d1 long, d2 long, blob binary"), "scan")
     rows = scan.filter("kind = -1").select("doc_id", "n", "d1", "d2")
     same = rows.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     copies = scratch.save(rows.filter("doc_id is not null").join(same.filter("c > 1").drop("c"), ["n", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
 
-    keys = docs.mapInArrow(_prefixes(_levels(scan, cells), width, percent), "key long, doc long, n int")
+    keys = docs.mapInArrow(frugal(_prefixes(_levels(scan, cells), width, percent)), "key long, doc long, n int")
     dealt = keys.repartition("key").sortWithinPartitions("key", F.xxhash64("doc"), "doc")
-    runs = scratch.save(dealt.mapInArrow(_runs, "key long, doc long, n int, pivot long, pivot_n int"), "runs")
+    runs = scratch.save(dealt.mapInArrow(frugal(_runs), "key long, doc long, n int, pivot long, pivot_n int"), "runs")
 
     digests = runs.filter("n = -1").select("key", F.col("doc").alias("s0"), F.col("pivot").alias("s1"))
     runs = runs.filter("n >= 0")
@@ -504,7 +504,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     mixed = scratch.save(_mixed(tagged(split_by_ids(runs.select("key", "doc", "n"), "key", keys)[0]), keys), "mixed")
     for best in (True, False):  # from tiles with many pairs the best first: what they join leaves the second pass, where bits are fine
         touched, _ = split_by_ids(docs, "doc_id", mixed.select("doc").distinct())
-        bits = scratch.save(touched.select("doc_id", "text").mapInArrow(_as_bitmaps(width, percent, not best), "id long, bits binary"), f"bits-{best}")
+        bits = scratch.save(touched.select("doc_id", "text").mapInArrow(frugal(_as_bitmaps(width, percent, not best)), "id long, bits binary"), f"bits-{best}")
         found = scratch.save(_tiled(mixed, bits, percent, best), f"tiles-{best}")
         more = _verified(docs, found.filter("key is null").select("a", "b"), width, percent, scratch, f"tile-{best}")
         chain = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks
+from .common import TOKEN_BLOCK_BYTES, Scratch, blocks, frugal
 from .word_bpe import reader
 
 LENGTH, GRAIN = 4096, 8
@@ -181,7 +181,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         read = reader(path)
-        for b, data, off in blocks(batches, "_text"):
+        for b, data, off in blocks(batches, "_text", TOKEN_BLOCK_BYTES):
             ids, n = read.ids(data, off)
             out: list[tuple] = []
             e = 0
@@ -191,7 +191,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 out += [(key, s, len(mine[s : s + length]), zlib.crc32(mine[s : s + length]), k + 1) for s in range(0, k + 1, length)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, PIECE)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(frugal(run), PIECE)
 
 
 def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
@@ -225,6 +225,6 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([*(col[x] for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(sequence), pa.array(slot)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
 
     ranked = cut.withColumn("k", F.row_number().over(Window.partitionBy("class", "salt").orderBy("doc_id", "start", "ids_crc32")))
-    placed = ranked.mapInArrow(place, f"{PIECE}, sequence_id long, slot long")
+    placed = ranked.mapInArrow(frugal(place), f"{PIECE}, sequence_id long, slot long")
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # length / 1 rows at most
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("slot")

@@ -17,7 +17,7 @@ import pyarrow as pa
 #: Bytes of the longest chunk that is remembered.
 LONG = 64
 #: Bytes that a worker remembers before it starts anew, and what a chunk takes beside its own bytes.
-CACHE_BYTES, ENTRY = 96 << 20, 120
+CACHE_BYTES, ENTRY = 48 << 20, 120
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:

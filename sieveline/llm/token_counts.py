@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks
+from .common import TOKEN_BLOCK_BYTES, Scratch, blocks, frugal
 from .word_bpe import reader
 
 #: The end id of word_bpe_49k, which no text contains.
@@ -54,7 +54,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
         read = reader(tokenizer, plain=True)  # no text may hold the end id
         name, store, path, out, size, count = f"{folder}/{uuid.uuid4().hex}.ids", None, None, None, 0, 0
         done: list[pa.RecordBatch] = []
-        for b, data, off in blocks(batches, "_text"):
+        for b, data, off in blocks(batches, "_text", TOKEN_BLOCK_BYTES):
             if out is None:
                 store, path = _store(name)
                 store.create_dir(path.rpartition("/")[0], recursive=True)
@@ -77,7 +77,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
         for d in done:  # 16 bytes a document
             yield pa.RecordBatch.from_arrays([pa.array([name] * d.num_rows), pa.array([size] * d.num_rows, pa.int64()), d.column(0), d.column(1)], ["file", "bytes", "document", "doc_id"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "file string, bytes long, document long, doc_id long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(frugal(run), "file string, bytes long, document long, doc_id long")
 
 
 def scan(files: DataFrame, end_id: int = END, width: int = 2, block: int = BLOCK, group: int = GROUP) -> DataFrame:
@@ -100,7 +100,7 @@ def scan(files: DataFrame, end_id: int = END, width: int = 2, block: int = BLOCK
                 head, tail = (int(ends[0]), len(ids) - int(ends[-1]) - 1) if len(ends) else (len(ids), 0)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([head], pa.int64()), pa.array([tail], pa.int64()), pa.array([inner.astype(np.int64)], pa.list_(pa.int64()))], ["file", "k", "ends", "head", "tail", "inner"])
 
-    seen = spans.mapInArrow(run, "file string, k long, ends long, head long, tail long, inner array<long>")
+    seen = spans.mapInArrow(frugal(run), "file string, k long, ends long, head long, tail long, inner array<long>")
     seen = Scratch(files.sparkSession, "separator-scan").save(seen, "blocks")
     at = offsets(seen.select("file", "k", "ends", "head", "tail"), group)
     last = F.col("k") == F.col("_last")

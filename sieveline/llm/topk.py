@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 
 #: Bounds are widened by this share, more than floating-point sums can err.
 SLACK = 1e-9
@@ -52,7 +52,7 @@ def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> Da
                     out.append(np.floor(scale * x))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in out], pa.int32()), pa.array([x.tobytes() for x in out], pa.binary()), pa.array([float(x @ x) for x in out], pa.float64())], ["id", "dim", "v", "norm2"])
 
-    return vectors.select(F.col(vec_id).cast("long"), F.col(embedding)).mapInArrow(run, "id long, dim int, v binary, norm2 double")
+    return vectors.select(F.col(vec_id).cast("long"), F.col(embedding)).mapInArrow(frugal(run), "id long, dim int, v binary, norm2 double")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -171,7 +171,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     sample = base.withColumn("n", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id", "v")))).filter(F.col("n") <= pivots).select("dim", "v", "norm2").collect()
     model = Pivots([(r[0], bytes(r[1]), r[2]) for r in sample], top)
     width = {dim: max(1e-9, 2 * top[dim] ** 0.5 / rings) for dim in top}
-    keyed = base.mapInArrow(_keyed(model, width), "id long, dim int, v binary, pivot int, dist double, ring int")
+    keyed = base.mapInArrow(frugal(_keyed(model, width)), "id long, dim int, v binary, pivot int, dist double, ring int")
     keyed = scratch.save(keyed, "keyed")
     annuli = keyed.groupBy("dim", "pivot", "ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("c")).withColumn("parts", F.ceil(F.col("c") / rows).cast("int"))
     annuli = scratch.save(annuli, "annuli")
@@ -184,7 +184,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     tops = F.create_map(*[F.lit(x) for d, m in top.items() for x in (d, float(m))])
     far = F.greatest(F.lit(0.0), F.col("dq") - F.col("hi"), F.col("lo") - F.col("dq")) * (1 - SLACK)
     bound = ((F.col("q2") + tops[F.col("dim")] - far * far) / 2) * (1 + SLACK) + 1e-3
-    reach = queries.mapInArrow(_reach(model), "q long, dim int, q2 double, pivot int, dq double")
+    reach = queries.mapInArrow(frugal(_reach(model)), "q long, dim int, q2 double, pivot int, dq double")
     needs = reach.join(annuli, ["dim", "pivot"]).select("q", "dim", "pivot", "ring", "parts", bound.alias("bound"))
     needs = needs.withColumn("turn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "pivot", "ring")))
     needs = scratch.save(needs, "needs")
@@ -198,7 +198,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
         spread = annuli.join(times, ["dim", "pivot", "ring"]).select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), block)).alias("block"), "copies")
         copied = stored.join(spread, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "role", "id", "dim", "v")
         dealt = copied.unionByName(asked).repartition("block", "copy").sortWithinPartitions("block", "copy", "role")
-        return dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+        return dealt.mapInArrow(frugal(_search(k)), "query_id long, vec_id long, score long")
 
     near = scratch.save(_best(look(needs.filter(F.col("turn") <= first)), k), "first")
     least = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))

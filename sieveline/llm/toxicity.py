@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, blocks, held_out, quoted, with_columns, word_hashes
+from .common import Scratch, blocks, frugal, held_out, quoted, with_columns, word_hashes
 
 CELLS = 1 << 20
 THRESHOLD = 0.7
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             c, n = term_cells(data, off)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.unique(x).astype(np.int32) for x in np.split(c, np.cumsum(n)[:-1])], pa.list_(pa.int32()))], ["id", "y", "cells"])
 
-    held = rows.mapInArrow(distinct, T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    held = rows.mapInArrow(frugal(distinct), T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
     held = Scratch(docs.sparkSession, "toxicity").save(held.groupBy("id").agg(F.min(F.struct("cells", "y")).alias("m")).select("id", "m.y", "m.cells"), "terms")
     count = {r[0]: r[1] for r in held.groupBy("y").count().collect()}
     if len(count) < 2:
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 found.append(at[cells[at] == c].astype(np.int32).tobytes() if len(cells) else b"")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "y", "at"])
 
-    got = held.mapInArrow(places, T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), T.StructField("at", T.BinaryType())])).collect()
+    got = held.mapInArrow(frugal(places), T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), T.StructField("at", T.BinaryType())])).collect()
     got = sorted(got, key=lambda r: (str(r[0]), bytes(r[2])))  # the same fit however the rows arrive
     machine = fit([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got]), cells, **kw)
     drawn = {k: min(m, per_class) for k, m in total.items()}

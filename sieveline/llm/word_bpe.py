@@ -16,6 +16,8 @@ from .spans import Chunks
 #: One pre-token of letters, then one of punctuation or none.
 PLAIN = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?#$%&*()\[\]|<>]*)")
 GROUP = 256
+#: Texts that the library encodes in one call.
+GROUPS = 32
 WORD_END = "</w>"
 
 _open: dict[tuple[str, bool], Chunks] = {}
@@ -36,7 +38,8 @@ def reader(path: str, plain: bool = False) -> Chunks:
         ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
 
         def alone(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            # an encoding takes far more room than its ids, so few are held at once
+            return [e.ids for i in range(0, len(texts), GROUPS) for e in t.encode_batch_fast(texts[i : i + GROUPS], add_special_tokens=False)]
 
         def encode(chunks: list[bytes]) -> list[list[int]]:
             texts = [c.decode("utf-8", "replace") for c in chunks]
