@@ -132,17 +132,38 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = _unpacked(blob.as_py())
             # counters stay below 2 ** 32: what is added stops there
             total[k] = total[k] + np.minimum(part, ~total[k]) if k in total else part
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_packed(x) for x in total.values()], pa.binary())], ["kind", "blob"])
+    sums = [int(x.sum(dtype=np.uint64)) for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_packed(x) for x in total.values()], pa.binary()), pa.array(sums, pa.int64())], ["kind", "blob", "total"])
+
+
+def _graded(base: float):
+    """Rows (chunk, summed counters) -> (chunk, their levels, a byte each, deflated)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for blob in b.column(1):
+                count = _unpacked(blob.as_py()).astype(np.float64)
+                level = np.where(count > base, 1 + np.log2(np.maximum(count / base, 1)), 0).astype(np.uint8)
+                found.append(zlib.compress(level.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["kind", "blob"])
+
+    return run
 
 
 def _levels(scan: DataFrame, cells: int) -> np.ndarray:
-    """0 for shingles as rare as most, more by 1 for each doubling beyond them; a byte a counter."""
-    rows = scan.filter("kind >= 0").select("kind", "blob").repartition(F.col("kind")).mapInArrow(frugal(_sum_chunks), "kind int, blob binary").collect()  # 4 bytes a counter at most
-    count = np.zeros(cells, np.float64)
-    for r in rows:
-        count[r["kind"] * CHUNK : (r["kind"] + 1) * CHUNK] = _unpacked(bytes(r["blob"]))
-    base = max(8.0, count.mean() + 6 * count.mean() ** 0.5)  # beyond what chance puts in a counter
-    return np.where(count > base, 1 + np.log2(np.maximum(count / base, 1)), 0).astype(np.uint8)
+    """0 for shingles as rare as most, more by 1 for each doubling beyond them; a byte a counter.
+
+    Counters stay on executors, which sum and grade them; the driver holds the levels, cells bytes, and a chunk beside them.
+    """
+    summed = scan.filter("kind >= 0").select("kind", "blob").repartition(F.col("kind")).mapInArrow(frugal(_sum_chunks), "kind int, blob binary, total long")
+    summed = Scratch(scan.sparkSession, "jaccard-sketch").save(summed, "summed")
+    mean = (summed.agg(F.sum("total")).first()[0] or 0) / cells
+    base = max(8.0, mean + 6 * mean**0.5)  # beyond what chance puts in a counter
+    out = np.zeros(cells, np.uint8)
+    for r in summed.select("kind", "blob").mapInArrow(frugal(_graded(base)), "kind int, blob binary").collect():  # cells bytes at most
+        out[r["kind"] * CHUNK : (r["kind"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["blob"]), np.uint8)
+    return out
 
 
 def _prefixes(levels: np.ndarray, width: int, percent: int):
