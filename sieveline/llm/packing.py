@@ -42,7 +42,7 @@ def price(duals: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     item = np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
         worth = duals[:c] + best[c - 1 :: -1][:c]
-        k = int(np.argmax(worth))
+        k = int(worth.argmax())
         if worth[k] > best[c - 1] + 1e-12:
             best[c], item[c] = worth[k], k + 1
         else:
@@ -100,9 +100,9 @@ def solve(demand: np.ndarray, rounds: int = 4000, gap: float = 3e-4) -> list[tup
         x = np.maximum(x, 0)
         basis[:, out] = col
         row = inverse[out] / step[out]
-        inverse = inverse - np.outer(step, row)
+        inverse -= step[:, None] * row
         inverse[out] = row
-        if k % 200 == 199:
+        if k % 200 == 199 and np.abs(np.einsum("ij,i->j", basis, inverse.sum(0)) - 1).max() > 1e-9:  # rounding errors show
             inverse = _inverted(basis)
     found = []
     for j in np.flatnonzero(x > 1e-9):

@@ -8,10 +8,11 @@ other chunks, each chunk is encoded alone.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
-from .spans import Chunks
+from .spans import Chunks, picked
 
 #: One pre-token of letters, then one of punctuation or none.
 PLAIN = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?#$%&*()\[\]|<>]*)")
@@ -37,30 +38,33 @@ def reader(path: str, plain: bool = False) -> Chunks:
         ends = np.zeros(max(vocab.values()) + 1, bool)
         ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
 
-        def alone(texts: list[str]) -> list[list[int]]:
+        def alone(texts: list[str]) -> Iterator[np.ndarray]:
             # an encoding takes far more room than its ids, so few are held at once
-            return [e.ids for i in range(0, len(texts), GROUPS) for e in t.encode_batch_fast(texts[i : i + GROUPS], add_special_tokens=False)]
+            for i in range(0, len(texts), GROUPS):
+                yield from [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts[i : i + GROUPS], add_special_tokens=False)]
 
-        def encode(chunks: list[bytes]) -> list[list[int]]:
+        def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             texts = [c.decode("utf-8", "replace") for c in chunks]
-            out: list[list[int] | None] = [None] * len(texts)
-            plain, words = [], []
-            for i, x in enumerate(texts):
-                if m := PLAIN.fullmatch(x):
-                    plain.append(i)
-                    words.append(2 if m[1] else 1)
-            groups = [plain[g : g + GROUP] for g in range(0, len(plain), GROUP)]
-            for k, (group, ids) in enumerate(zip(groups, alone([" ".join([texts[i] for i in g]) for g in groups]), strict=True)):
-                last = np.cumsum(words[k * GROUP : k * GROUP + len(group)])
-                at = np.flatnonzero(ends[ids]) + 1 if ids else np.zeros(0, np.int64)
+            found = [(i, m.end() > m.start(1)) for i, m in enumerate(map(PLAIN.fullmatch, texts)) if m]
+            joined, words = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64) + 1
+            groups = [[texts[i] for i in joined[g : g + GROUP].tolist()] for g in range(0, len(joined), GROUP)]
+            flat, lens, rows, rest = [], [], [], np.ones(len(texts), bool)
+            for k, ids in enumerate(alone([" ".join(g) for g in groups])):
+                own = slice(k * GROUP, k * GROUP + len(groups[k]))
+                last = np.cumsum(words[own])
+                at = np.flatnonzero(ends[ids]) + 1
                 if len(at) == last[-1] and at[-1] == len(ids):
-                    edge = [0, *at[last - 1].tolist()]
-                    for i, a, b in zip(group, edge[:-1], edge[1:], strict=True):
-                        out[i] = ids[a:b]
-            rest = [i for i, x in enumerate(out) if x is None]
-            for i, ids in zip(rest, alone([texts[i] for i in rest]), strict=True):
-                out[i] = ids
-            return out
+                    flat.append(ids)
+                    lens.append(np.diff(at[last - 1], prepend=0))
+                    rows.append(joined[own])
+                    rest[joined[own]] = False
+            left = np.flatnonzero(rest)
+            one = list(alone([texts[i] for i in left.tolist()]))
+            flat += one
+            lens.append(np.fromiter(map(len, one), np.int64, len(one)))
+            every, size = np.concatenate([np.zeros(0, np.uint32), *flat]), np.concatenate(lens)
+            order = np.argsort(np.concatenate([*rows, left]))
+            return picked(every, size, order), size[order]
 
         _open[path, plain] = Chunks(encode)
     return _open[path, plain]
