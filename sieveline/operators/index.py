@@ -1,8 +1,8 @@
 """The positional trigram index: tables, layout on disk, and handles.
 
-An index is a folder of Parquet tables, each partitioned by shard: postings (one row a trigram occurrence, sorted by
-trigram inside each file, so that row-group statistics prune), tri_stats, files, contents, metadata and one table for
-each extension. Readers take the tables they know and ignore others.
+An index is a folder of Parquet tables, each partitioned by shard: postings (rows of grams.STORED, a trigram's lists in a
+block of files as delta varints, sorted by trigram inside each file, so that row-group statistics prune), tri_stats,
+files, contents, metadata and one table for each extension. Readers take the tables they know and ignore others.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ngrams, text as tx
 from ..sources import corpus as source
+from . import grams
 
-VERSION = 1
+VERSION = 2
 #: File numbers in a block of running sums.
 BLOCK = 4096
 TABLES = ("postings", "tri_stats", "files", "contents", "metadata")
@@ -43,34 +44,51 @@ def _keys(corpus: DataFrame) -> list[str]:
     return [c for c in ("shard", "file_idx") if c in corpus.columns]
 
 
+def _long(corpus: DataFrame) -> DataFrame:
+    """([shard,] file_idx, text) of the texts that have a trigram."""
+    text = readable(corpus)
+    return corpus.filter(F.length(text) >= ngrams.SIZE).select(*_keys(corpus), text.alias("text"))
+
+
 def postings(corpus: DataFrame) -> DataFrame:
     """([shard,] file_idx, tri, pos, byte_offset): every window of three code points; pos counts code points from 0."""
-    keys, text = _keys(corpus), readable(corpus)
-    return corpus.filter(F.length(text) >= ngrams.SIZE).select(*keys, tx.fence(ngrams.trigrams(text)).alias("_t")).select(*keys, F.inline("_t")).select(*keys, "tri", F.col("idx").alias("pos"), "byte_offset")
+    return grams.rows(_long(corpus))
+
+
+def positions(corpus: DataFrame, only: list[str]) -> DataFrame:
+    """([shard,] file_idx, tri, pos) of these trigrams. Texts without any are left out at the scan."""
+    docs = _long(corpus)
+    return grams.chosen(docs.filter(reduce(lambda a, b: a | b, [F.contains("text", F.lit(t)) for t in only])), only)
+
+
+def trigrams(corpus: DataFrame) -> DataFrame:
+    """(tri) of all texts, each once."""
+    return grams.distinct(_long(corpus))
+
 
+def tri_stats(corpus: DataFrame) -> DataFrame:
+    """(tri, freq, docs): a trigram's places and files."""
+    return grams.totals(_long(corpus)).select("tri", "freq", "docs")
 
-def positions(corpus: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """([shard,] file_idx, tri, pos): postings without byte offsets, which cost a second running sum.
 
-    only: these trigrams. Texts without any are left out at the scan, and other places before they become rows.
-    """
-    keys, text = _keys(corpus), readable(corpus)
-    docs = corpus.filter(F.length(text) >= ngrams.SIZE)
-    if only is None:
-        return docs.select(*keys, tx.fence(ngrams.trigram_texts(text)).alias("_t")).select(*keys, F.posexplode("_t").alias("p", "tri")).select(*keys, "tri", F.col("p").cast("bigint").alias("pos"))
-    docs = docs.filter(reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in only]))
-    at = F.transform(ngrams.trigram_texts(text), lambda t, i: F.struct(t.alias("tri"), i.cast("bigint").alias("pos")))
-    return docs.select(*keys, tx.fence(F.filter(at, lambda x: x["tri"].isin(only))).alias("_t")).select(*keys, F.inline("_t"))
+def posting_bytes(corpus: DataFrame) -> DataFrame:
+    """(tri, bytes): each trigram's positions per file as delta varints."""
+    return grams.totals(_long(corpus)).select("tri", "bytes")
 
 
-def tri_stats(rows: DataFrame) -> DataFrame:
-    """(tri, freq, docs) of postings."""
-    return rows.groupBy("tri").agg(F.count("*").alias("freq"), F.count_distinct("file_idx").alias("docs"))
+def posting_lists(corpus: DataFrame) -> DataFrame:
+    """(file_idx, tri, positions): ascending positions of a trigram in one file; lists never span files."""
+    return grams.lists(_long(corpus))
 
 
-def posting_lists(rows: DataFrame) -> DataFrame:
-    """(tri, file_idx, positions): ascending positions of a trigram in one file; lists never span files."""
-    return rows.groupBy("tri", "file_idx").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+def joined_lists(corpus: DataFrame, stored_form: bool = False) -> DataFrame:
+    """(file_idx, tri, n, positions): posting_lists with positions as text, parted by commas; stored_form: read back from delta varints."""
+    return grams.joined_lists(_long(corpus), stored_form)
+
+
+def posting_deltas(corpus: DataFrame) -> DataFrame:
+    """(file_idx, tri, pos, delta): every position and its distance from the one before it in its list."""
+    return grams.steps(_long(corpus))
 
 
 def files(corpus: DataFrame, shard: str | None = None) -> DataFrame:
@@ -134,14 +152,15 @@ class IndexBuilder:
             kept = source.with_text(kept)
         rest = F.when(F.col("text").isNull(), F.col("content")) if "content" in kept.columns else F.lit(None)
         kept = kept.select("shard", "file_idx", "path", "text", rest.cast("binary").alias("content"))
-        kept.write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/contents")
+        # a shard's texts are moved to one task, in order; all else follows from its file without another shuffle
+        dealt = kept.repartition(*([partitions] if partitions else []), "shard").sortWithinPartitions("shard", "file_idx")
+        dealt.write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/contents")
         kept = corpus.sparkSession.read.schema(kept.schema).parquet(f"{folder}/contents")
         tables = {"files": files(kept, "shard")} | {tag: make(kept) for tag, make in self.extensions.items()}
-        rows = postings(kept)
-        dealt = rows.repartitionByRange(*([partitions] if partitions else []), "shard", "tri").sortWithinPartitions("shard", "tri", "file_idx", "pos")
-        dealt.write.mode("overwrite").partitionBy("shard").option("parquet.bloom.filter.enabled#tri", "true").parquet(f"{folder}/postings")
+        rows = grams.stored(_long(kept)).sortWithinPartitions("shard", "tri", "first_file")
+        rows.write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
         stored = corpus.sparkSession.read.schema(rows.schema).parquet(f"{folder}/postings")
-        tables["tri_stats"] = tri_stats(stored).sort("tri")
+        tables["tri_stats"] = stored.groupBy("tri").agg(F.sum("freq").alias("freq"), F.sum("docs").alias("docs")).sort("tri")
         tables["metadata"] = metadata(kept, "shard").withColumn("created_at", F.current_timestamp())  # last: an index without it is none
         for tag, df in tables.items():
             writer = df.write.mode("overwrite")
@@ -187,7 +206,18 @@ class Index:
         """A table with global file_idx; folders other than the first are renumbered densely by file_idx."""
         if not self.folders:
             return self.spark.createDataFrame([], "file_idx bigint, path string, text string, content binary, tri string, pos bigint, byte_offset bigint, freq bigint, docs bigint, file_count bigint, total_bytes bigint, part int")
-        t = self._read(tag)
+        if tag == "postings":
+            return self.postings()
+        return self._numbered(self._read(tag))
+
+    def postings(self, only: list[str] | None = None) -> DataFrame:
+        """(file_idx, tri, pos, byte_offset, shard, part) of all trigrams, or of these."""
+        if not self.folders:
+            return self.table("files").select("file_idx", "tri", "pos", "byte_offset")
+        t = self._read("postings")
+        return self._numbered(grams.places(t if only is None else t.filter(F.col("tri").isin(only)), "shard", "part"))
+
+    def _numbered(self, t: DataFrame) -> DataFrame:
         if "file_idx" not in t.columns or len(self.folders) == 1:
             return t
         start = F.lit(0)
@@ -212,11 +242,10 @@ class Index:
 
     def counters(self) -> DataFrame:
         """One row: ngram_count, posting_count, posting_bytes (delta varints)."""
-        from .postings import posting_bytes
-
-        stats = self._read("tri_stats").agg(F.count_distinct("tri").alias("ngram_count"), F.coalesce(F.sum("freq"), F.lit(0)).alias("posting_count"))
-        size = posting_bytes(self.table("postings")).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("posting_bytes"))
-        return stats.crossJoin(size)  # one row each
+        return self._read("postings").agg(
+            F.count_distinct("tri").alias("ngram_count"), F.coalesce(F.sum("freq"), F.lit(0)).alias("posting_count"),
+            F.coalesce(F.sum(F.octet_length("positions")), F.lit(0)).cast("bigint").alias("posting_bytes"),
+        )
 
     def file_entry(self, file_idx: int):
         return self.table("files").filter(F.col("file_idx") == file_idx).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -42,30 +43,34 @@ def frequencies(stats: DataFrame, pattern: str, case_sensitive: bool = True) ->
     return [(i, sum(found.get(t, 0) for t in ts)) for i, ts in wanted.items()]
 
 
-def candidates(rows: DataFrame, stats: DataFrame, pattern: str, case_sensitive: bool = True) -> DataFrame | None:
+#: (file_idx, pos) rows of some trigrams.
+Rows = Callable[[list[str]], DataFrame]
+
+
+def candidates(rows: Rows, stats: DataFrame, pattern: str, case_sensitive: bool = True) -> DataFrame | None:
     """(file_idx, pos) where the pattern may start, from its two rarest trigrams; None below three code points."""
     freqs = frequencies(stats, pattern, case_sensitive)
     if not freqs:
         return None
     if any(n == 0 for _, n in freqs):
-        return rows.select("file_idx", "pos").limit(0)
+        return rows([]).select("file_idx", "pos").limit(0)
     i, j = selective_pair(freqs)
-    at = lambda k: rows.filter(F.col("tri").isin([pattern[k : k + 3]] if case_sensitive else folding.posting_variants(pattern[k : k + 3])))
+    at = lambda k: rows([pattern[k : k + 3]] if case_sensitive else folding.posting_variants(pattern[k : k + 3]))
     found = at(i).select("file_idx", "pos") if i == j else distance_join(at(i), at(j), j - i)
     return found.select("file_idx", (F.col("pos") - i).alias("pos")).filter("pos >= 0")
 
 
-def files_with(rows: DataFrame, stats: DataFrame, literal: str, case_sensitive: bool = True) -> DataFrame | None:
+def files_with(rows: Rows, stats: DataFrame, literal: str, case_sensitive: bool = True) -> DataFrame | None:
     """(file_idx) of the files that hold the literal's rarest trigram: at least all that hold the literal."""
     freqs = frequencies(stats, literal, case_sensitive)
     if not freqs:
         return None
     i, n = min(freqs, key=lambda x: (x[1], x[0]))
     tri = literal[i : i + 3]
-    return rows.filter(F.col("tri").isin([tri] if case_sensitive else folding.posting_variants(tri))).select("file_idx").distinct()
+    return rows([tri] if case_sensitive else folding.posting_variants(tri)).select("file_idx").distinct()
 
 
-def candidate_files(rows: DataFrame, stats: DataFrame, need, case_sensitive: bool = True) -> DataFrame | None:
+def candidate_files(rows: Rows, stats: DataFrame, need, case_sensitive: bool = True) -> DataFrame | None:
     """(file_idx) that may satisfy the filter; None: all of them."""
     if isinstance(need, rx.Contains):
         return files_with(rows, stats, need.text, case_sensitive)
@@ -81,7 +86,7 @@ def candidate_files(rows: DataFrame, stats: DataFrame, need, case_sensitive: boo
 def narrowed(index, query: Query) -> DataFrame:
     """The index's corpus without the files that its postings rule out; each text that is left is read once."""
     o = query.options
-    corpus, rows, stats = index.corpus, index.table("postings"), index.table("tri_stats")
+    corpus, rows, stats = index.corpus, index.postings, index.table("tri_stats")
     stats = stats.groupBy("tri").agg(F.sum("freq").alias("freq"))
     literal = rx.plain_text(query.pattern) if query.is_regex else query.pattern
     if o.file_pattern is not None:
@@ -106,7 +111,7 @@ def search_stats(index, query: Query) -> DataFrame:
     delta varints.
     """
     spark = index.spark
-    rows, stats = index.table("postings"), index.table("tri_stats")
+    rows, stats = index.postings, index.table("tri_stats")
     literal = rx.plain_text(query.pattern) if query.is_regex else query.pattern
     total = search(index, query).agg(F.count("*").alias("n"))
     lookups, used, checked, loaded = 0, False, F.lit(0), F.lit(0)
@@ -121,7 +126,7 @@ def search_stats(index, query: Query) -> DataFrame:
             found = candidates(rows, stats, literal, query.options.case_sensitive).distinct().agg(F.count("*").alias("c"))
             i, j = selective_pair(freqs)
             tris = {literal[i : i + 3], literal[j : j + 3]}
-            lists = rows.filter(F.col("tri").isin(sorted(tris if query.options.case_sensitive else {v for t in tris for v in folding.posting_variants(t)})))
+            lists = rows(sorted(tris if query.options.case_sensitive else {v for t in tris for v in folding.posting_variants(t)}))
             size = posting_bytes(lists).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"))
             total = total.crossJoin(found).crossJoin(size)  # one row each
             checked, loaded = F.col("c"), F.col("b")

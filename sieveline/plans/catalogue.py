@@ -352,12 +352,12 @@ CODE = "((ord(substring(tri, 1, 1))::bigint << 42) | (ord(substring(tri, 2, 1)):
 
 @over_documents(f"with {tri_cte()} select distinct tri, {CODE} as ngram from t")
 def trigram_encode(corpus):
-    return ix.postings(corpus).select("tri").distinct().select("tri", ngrams.encoded(F.col("tri")).alias("ngram"))
+    return ix.trigrams(corpus).select("tri", ngrams.encoded(F.col("tri")).alias("ngram"))
 
 
 @over_documents(f"with {tri_cte()}, n as (select distinct {CODE} as ngram from t) select ngram, chr((ngram >> 42)::integer) || chr(((ngram >> 21) & 2097151)::integer) || chr((ngram & 2097151)::integer) as tri from n")
 def trigram_decode(corpus):
-    n = ix.postings(corpus).select("tri").distinct().select(ngrams.encoded(F.col("tri")).alias("ngram"))
+    n = ix.trigrams(corpus).select(ngrams.encoded(F.col("tri")).alias("ngram"))
     return n.select("ngram", ngrams.decoded(F.col("ngram")).alias("tri"))
 
 
@@ -377,19 +377,18 @@ def case_variants(spark, sf_dir):
 r as (select distinct unnest([a, b, c]) as rune from d), v as (select rune, {RUNES.format('rune')} as v from r)
 select distinct tri, x.v || y.v || z.v as variant from d join v x on x.rune = a join v y on y.rune = b join v z on z.rune = c""")
 def case_trigrams(spark, sf_dir):
-    t = ix.positions(docs(spark, sf_dir)).select("tri").distinct()
+    t = ix.trigrams(docs(spark, sf_dir))
     return t.select("tri", F.explode(ngrams.trigram_variants(F.col("tri"))).alias("variant"))
 
 
 @query(f"with {tri_cte()} select tri, count(*) as freq, count(distinct file_idx) as docs from t group by tri")
 def posting_sizes(spark, sf_dir):
-    return ix.tri_stats(ix.positions(docs(spark, sf_dir)))
+    return ix.tri_stats(docs(spark, sf_dir))
 
 
 @over_documents(f"with {tri_cte()} select file_idx, tri, count(*) as n, string_agg(pos::varchar, ',' order by pos) as positions from t group by 1, 2")
 def posting_lists(corpus):
-    p = ix.posting_lists(ix.postings(corpus))
-    return p.select("file_idx", "tri", F.size("positions").cast("bigint").alias("n"), F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+    return ix.joined_lists(corpus)
 
 
 WORD = "therea"
@@ -431,19 +430,17 @@ def posting_case_union(spark, sf_dir):
 
 @over_documents(f"with {tri_cte()}, d as (select file_idx, tri, pos, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select file_idx, tri, pos::bigint as pos, delta::bigint as delta from d")
 def posting_deltas(corpus):
-    w = Window.partitionBy("file_idx", "tri").orderBy("pos")
-    return ix.postings(corpus).select("file_idx", "tri", "pos", (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0))).alias("delta"))
+    return ix.posting_deltas(corpus)
 
 
 @over_documents(f"with {tri_cte()} select file_idx, tri, string_agg(pos::varchar, ',' order by pos) as positions from t group by 1, 2")
 def delta_roundtrip(corpus):
-    p = ix.posting_lists(ix.postings(corpus)).withColumn("d", tx.deltas(F.col("positions")))
-    return p.select("file_idx", "tri", F.array_join(F.transform(tx.undeltas(F.col("d")), lambda x: x.cast("string")), ",").alias("positions"))
+    return ix.joined_lists(corpus, stored_form=True).select("file_idx", "tri", "positions")
 
 
 @over_documents(f"with {tri_cte()}, d as (select tri, pos - coalesce(lag(pos) over (partition by file_idx, tri order by pos), 0) as delta from t) select tri, sum(case when delta < 128 then 1 when delta < 16384 then 2 else 3 end)::bigint as bytes from d group by tri")
 def posting_bytes(corpus):
-    return px.posting_bytes(ix.postings(corpus))
+    return ix.posting_bytes(corpus)
 
 
 @query("select range::bigint * range * 7919 as value, greatest(1, ceil(length(bin(range::bigint * range * 7919)) / 7.0))::bigint as bytes, range::bigint * range * 7919 as decoded from range(0, 3000)")
@@ -467,7 +464,7 @@ def candidate_files_or(spark, sf_dir):
 
 @over_documents(f"with {tri_cte()}, d as (select tri, row_number() over (order by tri) as rn, count(*) over () as n from (select distinct tri from t)) select least((rn - 1) // 256, greatest(0, ceil((n - 512) / 256.0)::bigint))::bigint as bucket, min(tri) as first_tri, count(*) as entries from d group by 1")
 def bucket_directory(corpus):
-    return ix.bucket_directory(ix.postings(corpus).select("tri").distinct(), 512)
+    return ix.bucket_directory(ix.trigrams(corpus), 512)
 
 
 # ---------------------------------------------------------------- through a stored index
