@@ -26,6 +26,9 @@ TOKEN_BLOCK_BYTES = 2 << 20
 RELEASE_BYTES = 8 << 20
 #: Spark's limit of an Arrow batch while a table is written: both sides hold a batch or two whole.
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: Stored tables above this size in Parquet are not broadcast while a table is written: Spark's own limit, 10 MB, is a
+#: million ids and more, tens of MB for the driver in each join, and a plan has several.
+JOIN_KEY, JOIN_BYTES = "spark.sql.autoBroadcastJoinThreshold", 1 << 20
 
 #: The six ASCII white-space characters, as a Spark character list and as a Java pattern.
 SPACES = " \t\n\x0b\x0c\r"
@@ -56,12 +59,16 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.dir}/{name}"
-        before = self.spark.conf.get(BATCH_KEY, None)
-        self.spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+        held = int(self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+        put = {BATCH_KEY: str(BATCH_BYTES), JOIN_KEY: str(min(held, JOIN_BYTES))}
+        before = {k: self.spark.conf.get(k, None) for k in put}
+        for k, v in put.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.unset(BATCH_KEY) if before is None else self.spark.conf.set(BATCH_KEY, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -534,6 +534,6 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
         if not best or short.isEmpty():
             break
         mixed = scratch.save(_mixed(tagged(mixed.join(short, "key").select("key", "doc", "n")), short), "mixed-2")
-    first_r = labels.select(F.col("id").alias("i"), F.col("label").alias("l"))
+    first_r = labels.select(F.col("id").alias("i"), F.col("label").alias("l")).hint("merge")  # as many as linked documents: too many to broadcast
     out = rows.join(first_r, F.col("doc_id") == F.col("i"), "left").select(F.col("doc_id").cast(kind).alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("l", "doc_id").cast(kind).alias("component_id"))
     return out
